@@ -98,10 +98,12 @@ def compose(sql: str) -> str:
     ``sql`` may begin with its own WITH list.
     """
     order: list[str] = []
+    open_: set[str] = set()
 
     def visit(text: str) -> None:
         for word in re.findall(r"[A-Za-z_][A-Za-z_0-9]*", text):
-            if word in RELATIONS and word not in order and RELATIONS[word] != text:
+            if word in RELATIONS and word not in order and word not in open_ and RELATIONS[word] != text:
+                open_.add(word)
                 visit(RELATIONS[word])
                 if word not in order:
                     order.append(word)
