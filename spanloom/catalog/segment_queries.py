@@ -348,11 +348,11 @@ def overall(c: Corpus) -> DataFrame:
     return cv_of(c).where(F.col("category") == ev.ALL)
 
 
-VALUES_SQL = "string_agg(printf('%.6f', value), ' ' ORDER BY fold)"
+VALUES_SQL = "string_agg(printf('%.6f', round(value, 6)), ' ' ORDER BY fold)"
 
 
 def values_text(col: str):
-    return F.array_join(F.transform(col, lambda v: F.format_string("%.6f", v)), " ")
+    return F.array_join(F.transform(col, lambda v: F.format_string("%.6f", F.round(v, 6))), " ")
 
 
 @query("o90_cv_aggregate", f"""SELECT method, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, {VALUES_SQL} AS "values"
@@ -372,7 +372,7 @@ def o91(c: Corpus) -> DataFrame:
 
 def report_sql() -> str:
     cols = ", ".join(f"max(t) FILTER (metric = '{n}') AS \"{n}\"" for n in METRIC_SQL)
-    return f"SELECT method, category, {cols} FROM (SELECT method, category, metric, printf('%.4f±%.4f', avg(value), stddev_pop(value)) AS t FROM cv_long GROUP BY method, category, metric) GROUP BY method, category"
+    return f"SELECT method, category, {cols} FROM (SELECT method, category, metric, printf('%.4f±%.4f', round(avg(value), 4), round(stddev_pop(value), 4)) AS t FROM cv_long GROUP BY method, category, metric) GROUP BY method, category"
 
 
 @query("o92_report_rows", report_sql())
