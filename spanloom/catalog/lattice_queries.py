@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from spanloom.catalog.vocab_queries import IN_A, stats_of, words_of
 from spanloom.operators import features as fe
 from spanloom.operators import lattice as la
 from spanloom.operators import vocab as vo
+from spanloom.session import as_table
 from spanloom.sources.corpus import Corpus
 
 PACKED_SQL = "SELECT sid, count(*)::BIGINT AS n, string_agg(start || ':' || stop, ' ' ORDER BY start, stop) AS spans FROM {} GROUP BY sid"
@@ -55,7 +55,7 @@ def o52(c: Corpus) -> DataFrame:
 def counts_of(c: Corpus) -> DataFrame:
     """occ/hit per lexicon word; one row per matched word, kept because several queries read it twice."""
     if not hasattr(c, "_counts"):
-        c._counts = la.occ_hit(c.sent, c.lex).persist(StorageLevel.MEMORY_AND_DISK)
+        c._counts = as_table(la.occ_hit(c.sent, c.lex), "occ-hit")
     return c._counts
 
 
@@ -131,7 +131,7 @@ def train_counts(c: Corpus) -> DataFrame:
 
     if not hasattr(c, "_train_counts"):
         train = c.sent.join(split_of(c).where(F.col("split") == "train").select("sid"), "sid")
-        c._train_counts = la.occ_hit(train, c.lex).persist(StorageLevel.MEMORY_AND_DISK)
+        c._train_counts = as_table(la.occ_hit(train, c.lex), "occ-hit-train")
     return c._train_counts
 
 

@@ -22,7 +22,7 @@ from spanloom.operators.tagger import CharTagger, log_probabilities
 from spanloom.operators.vocab import modal_tag
 from spanloom.plans import experiment as ex
 from spanloom.plans.scale import fits_broadcast
-from spanloom.session import scratch_path
+from spanloom.session import as_table, scratch_path
 from spanloom.sources import sinks
 from spanloom.sources.corpus import Corpus
 from spanloom.streaming.vocabulary import incremental_word_freq, stream_words
@@ -72,7 +72,7 @@ def part(c: Corpus, name: str) -> DataFrame:
 
 def train_words(c: Corpus) -> DataFrame:
     if not hasattr(c, "_train_words"):
-        c._train_words = part(c, "train").select(F.explode("words").alias("word")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        c._train_words = as_table(part(c, "train").select(F.explode("words").alias("word")).distinct(), "train-words")
     return c._train_words
 
 
@@ -130,7 +130,7 @@ TAGGED_SQL = "SELECT sid, string_agg(word || '|' || tag, ' ' ORDER BY start) AS
 def train_modal(c: Corpus) -> DataFrame:
     if not hasattr(c, "_train_modal"):
         tok = part(c, "train").select("sid", F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.col("tags").alias("tag"))).alias("idx", "w"))
-        c._train_modal = modal_tag(tok.select("sid", "idx", "w.word", "w.tag")).persist(StorageLevel.MEMORY_AND_DISK)
+        c._train_modal = as_table(modal_tag(tok.select("sid", "idx", "w.word", "w.tag")), "train-modal")
     return c._train_modal
 
 
@@ -340,7 +340,7 @@ define("cv_long", " UNION ALL ".join(
 def cv_of(c: Corpus) -> DataFrame:
     """Scores of the whole grid: methods x folds x categories rows, kept for the report queries."""
     if not hasattr(c, "_cv"):
-        c._cv = ex.cv_scores(sp.with_fold_roles(c.sent), c.lex.words).persist(StorageLevel.MEMORY_AND_DISK)
+        c._cv = ex.cv_scores(sp.with_fold_roles(c.sent), c.lex.words)
     return c._cv
 
 

@@ -13,12 +13,13 @@ from spanloom.catalog.vocab_queries import IN_A, words_of
 from spanloom.operators import features as fe
 from spanloom.operators import lattice as la
 from spanloom.operators import splits as sp
+from spanloom.session import as_table
 from spanloom.sources.corpus import Corpus
 
 
 def split_of(c: Corpus) -> DataFrame:
     if not hasattr(c, "_split"):
-        c._split = sp.stratified_split(c.sent).persist(StorageLevel.MEMORY_AND_DISK)
+        c._split = as_table(sp.stratified_split(c.sent), "split")
     return c._split
 
 

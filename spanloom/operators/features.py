@@ -50,11 +50,37 @@ def covered(matches: DataFrame, keep: Sequence[str]) -> DataFrame:
         (F.col("pos") == F.col("start")).alias("first"), (F.col("pos") == F.col("stop") - 1).alias("last"))
 
 
-def _bie_columns(found: Column) -> list[Column]:
-    inner = ~F.col("first") & ~F.col("last")
-    where = {"B": F.col("first"), "I": inner, "E": F.col("last")}
-    return [F.max(F.when(found & where[name[0]] & (F.col("bin") == name[1:]), 1.0).otherwise(0.0)).alias(name)
-            for name in BIE_FEATURES]
+# Place x length and metadata marks are collected as one bit mask, a single integer
+# aggregate, and unpacked once per character.
+_BIT = {name: 1 << i for i, name in enumerate(BIE_FEATURES + META_FEATURES)}
+
+
+def _bie_bits() -> Column:
+    def by_bin(place: str) -> Column:
+        out = F.lit(0)
+        for name in BIE_FEATURES:
+            if name[0] == place:
+                out = F.when(F.col("bin") == name[1:], F.lit(_BIT[name])).otherwise(out)
+        return out
+
+    inner = F.when(F.col("first") | F.col("last"), 0).otherwise(by_bin("I"))
+    return F.when(F.col("first"), by_bin("B")).otherwise(0).bitwiseOR(
+        F.when(F.col("last"), by_bin("E")).otherwise(0)).bitwiseOR(inner)
+
+
+def _meta_bits() -> Column:
+    out = F.lit(0)
+    for name in META_FEATURES:
+        out = out.bitwiseOR(F.when(F.col(name), F.lit(_BIT[name])).otherwise(0))
+    return out
+
+
+def _mask(found: Column, bits: Column) -> Column:
+    return F.bit_or(F.when(found, bits).otherwise(0)).alias("_mask")
+
+
+def _unpack(names: Sequence[str]) -> list[Column]:
+    return [F.when(F.col("_mask").bitwiseAND(F.lit(_BIT[n])) != 0, 1.0).otherwise(0.0).alias(n) for n in names]
 
 
 def _rel_columns(found: Column) -> list[Column]:
@@ -68,19 +94,17 @@ def _rel_columns(found: Column) -> list[Column]:
     return out
 
 
-def _meta_columns(found: Column) -> list[Column]:
-    return [F.max(F.when(found & F.col(name), 1.0).otherwise(0.0)).alias(name) for name in META_FEATURES]
-
-
 def bie_features(sent: DataFrame, lex: Lexicon) -> DataFrame:
     """(sid, pos, 11 columns) multi-hot place x length, zero rows included."""
     rows = covered(lattice(sent, lex, every_position=True), ("bin", "found"))
-    return rows.groupBy("sid", "pos").agg(*_bie_columns(F.coalesce("found", F.lit(False))))
+    masks = rows.groupBy("sid", "pos").agg(_mask(F.coalesce("found", F.lit(False)), _bie_bits()))
+    return masks.select("sid", "pos", *_unpack(BIE_FEATURES))
 
 
 def meta_features(sent: DataFrame, lex: Lexicon) -> DataFrame:
     rows = covered(lattice(sent, lex, every_position=True), (*META_FEATURES, "found"))
-    return rows.groupBy("sid", "pos").agg(*_meta_columns(F.coalesce("found", F.lit(False))))
+    masks = rows.groupBy("sid", "pos").agg(_mask(F.coalesce("found", F.lit(False)), _meta_bits()))
+    return masks.select("sid", "pos", *_unpack(META_FEATURES))
 
 
 def dict_features(sent: DataFrame, lex: Lexicon, counts: DataFrame | None) -> DataFrame:
@@ -105,7 +129,8 @@ def dict_features(sent: DataFrame, lex: Lexicon, counts: DataFrame | None) -> Da
 def _all_dict_columns(valued: DataFrame) -> DataFrame:
     rows = covered(valued, ("bin", "found", "seen", "value", *META_FEATURES))
     found = F.coalesce("found", F.lit(False))
-    return rows.groupBy("sid", "pos").agg(*_bie_columns(found), *_rel_columns(found), *_meta_columns(found))
+    both = rows.groupBy("sid", "pos").agg(_mask(found, _bie_bits().bitwiseOR(_meta_bits())), *_rel_columns(found))
+    return both.select("sid", "pos", *_unpack(BIE_FEATURES), *REL_FEATURES, *_unpack(META_FEATURES))
 
 
 def fold_counts(sent: DataFrame, lex: Lexicon, k: int = FOLDS) -> DataFrame:
@@ -118,27 +143,14 @@ def fold_counts(sent: DataFrame, lex: Lexicon, k: int = FOLDS) -> DataFrame:
 
 def fold_priors(counts: DataFrame, k: int = FOLDS) -> DataFrame:
     """(bin, fold, p_g, n_occ): priors from all folds but one; 4 x k rows by construction."""
-    sums = counts.agg(*[
-        F.coalesce(F.sum(F.when(F.col("bin") == b, F.element_at(f"{c}_f", i + 1))), F.lit(0)).alias(f"{c}_{b}_{i}")
-        for b in BINS for i in range(k) for c in ("occ", "hit")])
-
-    def rest(c: str, b: str, i: int) -> Column:
-        total = F.lit(0)
-        for j in range(k):
-            if j != i:
-                total = total + F.col(f"{c}_{b}_{j}")
-        return total
-
-    rows = []
-    for i in range(k):
-        everything = F.lit(0)
-        for b in BINS:
-            everything = everything + rest("occ", b, i)
-        for b in BINS:
-            rows.append(F.struct(F.lit(b).alias("bin"), F.lit(i).alias("fold"),
-                                 ((rest("hit", b, i) + 1) / (rest("occ", b, i) + 2)).alias("p_g"),
-                                 everything.alias("n_occ")))
-    return sums.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    per_bin = counts.groupBy("bin").agg(*[
+        F.array(*[F.sum(F.element_at(c, i + 1)) for i in range(k)]).alias(c) for c in ("occ_f", "hit_f")])
+    bins = counts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(b) for b in BINS])).alias("bin"))
+    rows = bins.join(per_bin, "bin", "left").select(
+        "bin", "occ_f", "hit_f", F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("fold")).select(
+        "bin", "fold", *[F.coalesce(others(F.col(f"{c}_f"), F.col("fold")), F.lit(0)).alias(c) for c in ("occ", "hit")])
+    return rows.select("bin", "fold", ((F.col("hit") + 1) / (F.col("occ") + 2)).alias("p_g"),
+                       F.sum("occ").over(Window.partitionBy("fold")).alias("n_occ"))
 
 
 def oof_dict_features(sent: DataFrame, lex: Lexicon, k: int = FOLDS, folds: DataFrame | None = None) -> DataFrame:
@@ -176,7 +188,8 @@ def oof_internal_features(sent_folds: DataFrame, internal: Lexicon) -> DataFrame
     matches = lattice(sent_folds, internal, keep=("fold",), every_position=True)
     valid = F.coalesce(F.col("found"), F.lit(False)) & (others(F.col("n_f"), F.col("fold")) > 0)
     rows = covered(matches.withColumn("ok", F.coalesce(valid, F.lit(False))), ("bin", "ok"))
-    return rows.groupBy("sid", "pos").agg(*_bie_columns(F.col("ok")))
+    masks = rows.groupBy("sid", "pos").agg(_mask(F.col("ok"), _bie_bits()))
+    return masks.select("sid", "pos", *_unpack(BIE_FEATURES))
 
 
 def domain_vectors(matches: DataFrame, in_a: Column) -> DataFrame:
@@ -187,13 +200,13 @@ def domain_vectors(matches: DataFrame, in_a: Column) -> DataFrame:
     a share take the certain share of the sentence.
     """
     own_a, own_b = sentence_share(in_a)
-    filled = matches.withColumn("_own", own_a).withColumn("_own_b", own_b)
-    rows = covered(filled, ("valid", "share_a", "share_b", "_own", "_own_b"))
-    sums = rows.groupBy("sid", "pos").agg(
-        F.avg(F.when(F.col("valid"), F.coalesce("share_a", "_own"))).alias("a"),
-        F.avg(F.when(F.col("valid"), F.coalesce("share_b", "_own_b"))).alias("b"),
-        F.max("_own").alias("own"), F.max("_own_b").alias("own_b"))
-    return sums.select("sid", "pos", F.coalesce("a", "own").alias("share_a"), F.coalesce("b", "own_b").alias("share_b"))
+    valid = F.col("valid")
+    filled = matches.select(
+        "sid", "start", "stop", "len", "valid", own_a.alias("own"),
+        F.when(valid, F.coalesce("share_a", own_a)).alias("a"), F.when(valid, F.coalesce("share_b", own_b)).alias("b"))
+    rows = covered(filled, ("a", "b", "own"))
+    sums = rows.groupBy("sid", "pos").agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.max("own").alias("own"))
+    return sums.select("sid", "pos", F.coalesce("a", "own").alias("share_a"), F.coalesce("b", 1.0 - F.col("own")).alias("share_b"))
 
 
 def domain_features(sent: DataFrame, words: Lexicon, in_a: Column) -> DataFrame:

@@ -1,9 +1,9 @@
 """Matching every lexicon word at every position of every sentence, and what is counted from it.
 
 The lattice is an equi-join of candidate substrings with the lexicon. Candidates are not
-all substrings: words shorter than ``STEM`` are tried by their own lengths, longer ones
-only where the next ``STEM`` characters begin some word, and then only in the lengths
-such words have. This is exact for words of any length and emits a few candidates per
+all substrings: words shorter than a stem are tried by their own lengths, longer ones
+only where the next characters are the stem of some word, and then only in the lengths
+such words have. (A stem has four characters, six in a large lexicon.) This is exact for words of any length and emits a few candidates per
 position, however long the longest word is.
 """
 
@@ -12,14 +12,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.script import length_bin
 from spanloom.plans.scale import fits_broadcast, keyed_join
+from spanloom.session import as_table
 
-STEM = 4
+STEM, LONG_STEM, MANY_WORDS = 4, 6, 20_000
 BLOCK = 256
 KAPPA = 5
 BINS = ("2", "3", "4", "5P")
@@ -33,21 +33,24 @@ class Lexicon:
     stems: DataFrame
     short_lengths: tuple[int, ...]
     max_len: int
+    stem: int
     fits: bool
 
     @staticmethod
-    def build(words: DataFrame, stem: int = STEM) -> "Lexicon":
-        words = words.persist(StorageLevel.MEMORY_AND_DISK)
+    def build(words: DataFrame) -> "Lexicon":
+        words = as_table(words, "lexicon")
         facts = words.agg(
-            F.max(F.length("word")).alias("max_len"),
-            F.collect_set(F.when(F.length("word") < stem, F.length("word"))).alias("short"),
+            F.count(F.lit(1)).alias("n"), F.max(F.length("word")).alias("max_len"),
+            F.collect_set(F.when(F.length("word") < LONG_STEM, F.length("word"))).alias("short"),
         ).first()
+        stem = STEM if facts["n"] <= MANY_WORDS else LONG_STEM
+        short = tuple(sorted(n for n in facts["short"] or () if n < stem))
         stems = (
             words.where(F.length("word") >= stem)
             .groupBy(F.substring("word", 1, stem).alias("stem"))
             .agg(F.collect_set(F.length("word")).alias("lengths"))
         )
-        return Lexicon(words, stems, tuple(sorted(facts["short"] or ())), facts["max_len"] or 0, fits_broadcast(words))
+        return Lexicon(words, stems, short, facts["max_len"] or 0, stem, fits_broadcast(words))
 
 
 def gold_lengths(words: Column) -> Column:
@@ -84,14 +87,14 @@ def positions(sent: DataFrame, max_len: int, keep: Sequence[str] = (), gold: str
 
 
 def lattice(sent: DataFrame, lex: Lexicon, keep: Sequence[str] = (), gold: str | None = None,
-            every_position: bool = False, stem: int = STEM) -> DataFrame:
+            every_position: bool = False) -> DataFrame:
     """All lexicon matches: (sid, keep..., start, stop, len, word, is_gold, lexicon columns).
 
     With ``every_position`` each character also yields its own one-character row, found
     or not (see ``found``): aggregates by position then need no second join to get the
     positions without a match.
     """
-    max_len = max(lex.max_len, 1)
+    max_len, stem = max(lex.max_len, 1), lex.stem
     rows = positions(sent, max_len, keep, gold)
     short = sorted(set(lex.short_lengths) | ({1} if every_position else set()))
     direct = F.array(*[F.lit(n) for n in short]) if short else F.array().cast("array<int>")

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.script import characters
+from spanloom.session import as_table
 
 DPMI_DISCOUNT = 0.5
 METRICS = ("dpmi", "dice", "t_score")
@@ -96,8 +96,7 @@ class NgramStats:
 
     @staticmethod
     def count(runs: DataFrame, metric: str = "dpmi", run: str = "run") -> "NgramStats":
-        keep = StorageLevel.MEMORY_AND_DISK
-        return NgramStats(unigrams(runs, run).persist(keep), bigrams(runs, run).persist(keep), metric)
+        return NgramStats(as_table(unigrams(runs, run), "unigram"), as_table(bigrams(runs, run), "bigram"), metric)
 
     def save(self, path: str) -> None:
         """Persist the counts only; everything else is recomputed."""

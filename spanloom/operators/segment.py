@@ -134,38 +134,37 @@ def transition_counts(sent: DataFrame, words: str = "words") -> DataFrame:
 def viterbi(scores: Column, start: Sequence[Column], trans: Sequence[Sequence[Column]], end: Sequence[Column]) -> Column:
     """Best legal label sequence for an array of per-character score arrays (order B, I, E, S).
 
-    One fold over the characters: the accumulator holds the four best scores and, per step,
-    the best previous label of each label. Ties take the lowest label index.
+    One fold over the characters. The accumulator holds, per label, the best score and the
+    labels leading to it as text; every label has exactly two legal predecessors. Ties take
+    the lowest label index.
     """
-    n_lab = len(BIES)
+    index = {x: i for i, x in enumerate(BIES)}
+    before = {y: [x for x in BIES if y in LEGAL_NEXT[x]] for y in BIES}
 
-    def allowed(cond: bool, value: Column) -> Column:
-        return value if cond else F.lit(IMPOSSIBLE)
-
-    first = F.element_at(scores, 1)
-    init = F.array(*[allowed(BIES[j] in LEGAL_START, start[j]) + F.element_at(first, j + 1) for j in range(n_lab)])
-    acc0 = F.struct(init.alias("best"), F.array().cast("array<array<int>>").alias("back"))
+    def state(score: dict[str, Column], path: dict[str, Column]) -> Column:
+        return F.struct(*[score[x].alias(f"s{x}") for x in BIES], *[path[x].alias(f"p{x}") for x in BIES])
 
     def step(acc: Column, e: Column) -> Column:
-        options = [F.array(*[F.element_at(acc["best"], i + 1) + allowed(BIES[j] in LEGAL_NEXT[BIES[i]], trans[i][j])
-                             for i in range(n_lab)]) for j in range(n_lab)]
-        # Adding the emission to each option before taking the maximum would not change the order.
-        packed = F.transform(F.array(*options), lambda o: F.struct(
-            F.array_max(o).alias("v"), (F.array_position(o, F.array_max(o)) - 1).cast("int").alias("from")))
-        best = F.zip_with(packed, e, lambda p, x: p["v"] + x)
-        return F.struct(best.alias("best"), F.concat(acc["back"], F.array(F.transform(packed, lambda p: p["from"]))).alias("back"))
+        score, path = {}, {}
+        for y in BIES:
+            low, high = before[y]
+            via_low = acc[f"s{low}"] + trans[index[low]][index[y]]
+            via_high = acc[f"s{high}"] + trans[index[high]][index[y]]
+            score[y] = F.greatest(via_low, via_high) + F.element_at(e, index[y] + 1)
+            path[y] = F.concat(F.when(via_low >= via_high, acc[f"p{low}"]).otherwise(acc[f"p{high}"]), F.lit(y))
+        return state(score, path)
+
+    first = F.element_at(scores, 1)
+    opening = {x: (start[index[x]] if x in LEGAL_START else F.lit(IMPOSSIBLE)) + F.element_at(first, index[x] + 1) for x in BIES}
 
     def finish(acc: Column) -> Column:
-        closing = F.array(*[allowed(BIES[j] in LEGAL_END, end[j]) for j in range(n_lab)])
-        total = F.zip_with(acc["best"], closing, lambda a, b: a + b)
-        last = (F.array_position(total, F.array_max(total)) - 1).cast("int")
-        return F.aggregate(
-            F.reverse(acc["back"]), F.array(last),
-            lambda path, back: F.concat(F.array(F.element_at(back, F.element_at(path, 1) + 1)), path),
-            lambda path: F.transform(path, lambda i: F.element_at(F.array(*[F.lit(x) for x in BIES]), i + 1)))
+        low, high = LEGAL_END
+        best = F.when(acc[f"s{low}"] + end[index[low]] >= acc[f"s{high}"] + end[index[high]], acc[f"p{low}"]).otherwise(acc[f"p{high}"])
+        return F.regexp_extract_all(best, F.lit("([BIES])"), F.lit(1))
 
     rest = F.slice(scores, F.lit(2), F.greatest(F.size(scores) - 1, F.lit(0)))
-    return F.when(F.size(scores) > 0, F.aggregate(rest, acc0, step, finish))
+    folded = F.aggregate(rest, state(opening, {x: F.lit(x) for x in BIES}), step, finish)
+    return F.when(F.size(scores) > 0, folded)
 
 
 def rescale_embeddings(vectors: DataFrame, wanted: DataFrame, key: str, vec: str, target_std: float) -> DataFrame:

@@ -18,6 +18,7 @@ from spanloom.operators.lattice import Lexicon
 from spanloom.operators.segment import FALLBACK_SINGLES, max_match
 from spanloom.operators.vocab import UNSEEN_TAG
 from spanloom.operators.splits import FOLDS
+from spanloom.session import as_table
 
 # Method names of the grid and what each stands for.
 METHODS = {
@@ -67,7 +68,7 @@ def cv_scores(sent_roles: DataFrame, predefined: DataFrame, names: Sequence[str]
               k: int = FOLDS) -> DataFrame:
     """(method, fold, category, counts and metrics), ``ALL`` rows included; unknown names are left out."""
     sent_roles = sent_roles.persist(StorageLevel.MEMORY_AND_DISK)
-    words = run_words(sent_roles, k).persist(StorageLevel.MEMORY_AND_DISK)
+    words = as_table(run_words(sent_roles, k), "run-words")
     counted = []
     for source in dict.fromkeys(METHODS[n][1] for n in names if n in METHODS):
         methods = {n: METHODS[n][0] for n in names if n in METHODS and METHODS[n][1] == source}
@@ -81,7 +82,7 @@ def cv_scores(sent_roles: DataFrame, predefined: DataFrame, names: Sequence[str]
         pairs = joined.select("fold", "category", "words", "tags", modes.alias("m")).select(
             F.col("m.method").alias("method"), "fold", "category", "words", "tags",
             F.col("m.pred_words").alias("pred_words"), F.array().cast("array<string>").alias("pred_tags"))
-        counted.append(ev.scored_words(pairs, ("method", "fold", "category")))
+        counted.append(as_table(ev.scored_words(pairs, ("method", "fold", "category")), "cv-words"))
     counts = counted[0]
     for c in counted[1:]:
         counts = counts.unionByName(c)
@@ -90,7 +91,7 @@ def cv_scores(sent_roles: DataFrame, predefined: DataFrame, names: Sequence[str]
         "iv", F.coalesce(F.element_at("in_run", F.col("fold") + 1), F.lit(False))).withColumn(
         "tag_ok", F.when(F.coalesce(F.element_at("tag_run", F.col("fold") + 1), F.lit(UNSEEN_TAG)) == F.col("tag"),
                          F.col("correct")).otherwise(0))
-    return ev.metrics(ev.totals(marked, ("method", "fold"), "category"))
+    return as_table(ev.metrics(ev.totals(marked, ("method", "fold"), "category")), "cv-scores")
 
 
 def grid(scores: DataFrame) -> DataFrame:

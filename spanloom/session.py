@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "spanloom", cores: int | str = "*", shuffle_partitions: int | None = None,
@@ -47,3 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def as_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return the written table.
+
+    Used where a result is read several times: it cuts the lineage, so later plans stay
+    small, and a lost executor costs no recomputation.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

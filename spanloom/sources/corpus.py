@@ -38,10 +38,17 @@ def surrogate_tag(raw: Column) -> Column:
     )
 
 
-def cut_tokens(tokens: Column, size: int = SENTENCE_TOKENS) -> Column:
-    """An array cut into consecutive arrays of ``size``; an empty array gives none."""
-    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens), F.lit(size)))
-    return F.transform(starts, lambda i: F.slice(tokens, i, F.lit(size)))
+def cut_tokens(rows: DataFrame, tokens: str, size: int = SENTENCE_TOKENS) -> DataFrame:
+    """Replace the array column ``tokens`` by (k, part): its consecutive pieces of ``size``; an empty array gives none.
+
+    ``tokens`` must be a column, not an expression, or it would be evaluated once per piece.
+    The outer explode spares a filter that would evaluate it again.
+    """
+    keep = [c for c in rows.columns if c != tokens]
+    col = F.col(tokens)
+    starts = F.when(F.size(col) > 0, F.sequence(F.lit(1), F.size(col), F.lit(size)))
+    cut = rows.select(*keep, tokens, F.posexplode_outer(starts).alias("k", "_from"))
+    return cut.where(F.col("_from").isNotNull()).select(*keep, "k", F.slice(col, F.col("_from"), F.lit(size)).alias("part"))
 
 
 def read_spread(spark: SparkSession, path: str, key: str, *columns: str) -> DataFrame:
@@ -86,14 +93,12 @@ class Corpus:
     @cached_property
     def sent(self) -> DataFrame:
         docs = self._spread("documents", "doc_id", "doc_id", "text", "lang", "source")
-        cut = docs.select("doc_id", "lang", "source",
-                          F.posexplode(cut_tokens(raw_tokens(F.col("text")))).alias("k", "raw"))
+        raw = docs.select("doc_id", "lang", "source", raw_tokens(F.col("text")).alias("raw"))
+        cut = cut_tokens(raw, "raw").withColumnRenamed("part", "raw").withColumn("words", F.transform("raw", F.lower))
         return cut.select(
             (F.col("doc_id") * SID_STRIDE + F.col("k")).alias("sid"), "doc_id", "k",
             F.col("lang").alias("category"), F.col("source").alias("grp"),
-            F.transform("raw", F.lower).alias("words"),
-            F.transform("raw", surrogate_tag).alias("tags"),
-            F.array_join(F.transform("raw", F.lower), "").alias("s"),
+            "words", F.transform("raw", surrogate_tag).alias("tags"), F.array_join("words", "").alias("s"),
         ).repartition(self.partitions, "sid").persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
@@ -146,10 +151,10 @@ class Corpus:
     @cached_property
     def runs(self) -> DataFrame:
         """Unlabelled text: conversation turns cut and joined like sentences, without boundaries."""
-        cut = self._conversation_tokens().select("conv_id", "turn", F.posexplode(cut_tokens(F.col("words"))).alias("k", "w"))
+        cut = cut_tokens(self._conversation_tokens(), "words")
         rid = (F.col("conv_id") * TURN_STRIDE + F.col("turn")) * RUN_STRIDE + F.col("k")
         return (
-            cut.select(rid.alias("rid"), "conv_id", F.array_join("w", "").alias("run"))
+            cut.select(rid.alias("rid"), "conv_id", F.array_join("part", "").alias("run"))
             .repartition(self.partitions, "rid").persist(StorageLevel.MEMORY_AND_DISK)
         )
 
