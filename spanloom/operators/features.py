@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.script import characters
-from spanloom.operators.lattice import (BINS, KAPPA, Lexicon, class_priors, lattice, smoothed)
+from spanloom.operators.lattice import BINS, Lexicon, class_priors, lattice, smoothed
 from spanloom.operators.ngrams import NgramStats
 from spanloom.operators.splits import FOLDS, inner_folds, others, per_fold
 from spanloom.operators.vocab import sentence_share
 from spanloom.plans.scale import fits_broadcast, keyed_join
+from spanloom.session import as_table
 
 # Feature order, which the ablation levels index.
 BIE_FEATURES = ("B2", "B3", "B4", "B5P", "I3", "I4", "I5P", "E2", "E3", "E4", "E5P")
@@ -109,21 +110,21 @@ def meta_features(sent: DataFrame, lex: Lexicon) -> DataFrame:
 
 def dict_features(sent: DataFrame, lex: Lexicon, counts: DataFrame | None) -> DataFrame:
     """(sid, pos, 20 columns). ``counts`` is ``occ_hit`` of the training sentences; without it,
-    or when it is empty, the six reliability columns are 0."""
-    matches = lattice(sent, lex, every_position=True)
+    or when it is empty, the six reliability columns are 0.
+
+    Values are put on the lexicon first: a word is valued once, not once per match.
+    """
+    words = lex.words
     if counts is None:
-        valued = matches.withColumn("seen", F.lit(True)).withColumn("value", F.lit(0.0))
+        valued = words.select("*", F.lit(True).alias("seen"), F.lit(0.0).alias("value"))
     else:
         any_seen = counts.agg(F.count(F.lit(1)).alias("n")).scalar() > 0
-        known = counts.select("word", "occ", "hit")
-        valued = (
-            keyed_join(matches, known, ["word"], "left", small_fits=lex.fits, spread=["sid", "start"])
-            .join(F.broadcast(class_priors(counts)), "bin", "left")
-            .withColumn("seen", F.coalesce(F.col("occ") > 0, F.lit(False)))
-            .withColumn("value", F.when(any_seen, F.when(F.col("seen"), smoothed(F.col("hit"), F.col("occ"), F.col("p_g")))
-                                        .otherwise(F.coalesce("p_g", F.lit(0.5)))).otherwise(0.0))
-        )
-    return _all_dict_columns(valued)
+        known = words.join(counts.select("word", "occ", "hit"), "word", "left").join(
+            F.broadcast(class_priors(counts)), "bin", "left")
+        seen = F.coalesce(F.col("occ") > 0, F.lit(False))
+        value = F.when(seen, smoothed(F.col("hit"), F.col("occ"), F.col("p_g"))).otherwise(F.coalesce("p_g", F.lit(0.5)))
+        valued = known.select(*words.columns, seen.alias("seen"), F.when(any_seen, value).otherwise(0.0).alias("value"))
+    return _all_dict_columns(lattice(sent, lex.extended(valued), every_position=True))
 
 
 def _all_dict_columns(valued: DataFrame) -> DataFrame:
@@ -157,21 +158,25 @@ def oof_dict_features(sent: DataFrame, lex: Lexicon, k: int = FOLDS, folds: Data
     """(sid, pos, 20 columns) where a sentence never sees counts from its own fold.
 
     Counts per word hold one number per fold; what the other folds saw is total minus own.
+    The lexicon carries one value per fold, of which a match picks that of its sentence.
     """
     dealt = sent.join(folds if folds is not None else inner_folds(sent, k), "sid")
-    counts = fold_counts(dealt, lex, k)
-    matches = lattice(dealt, lex, keep=("fold",), every_position=True)
-    valued = (
-        keyed_join(matches, counts.select("word", "occ_f", "hit_f"), ["word"], "left",
-                   small_fits=lex.fits, spread=["sid", "start"])
-        .join(F.broadcast(fold_priors(counts, k)), ["bin", "fold"], "left")
-        .withColumn("_occ", F.coalesce(others(F.col("occ_f"), F.col("fold")), F.lit(0)))
-        .withColumn("_hit", F.coalesce(others(F.col("hit_f"), F.col("fold")), F.lit(0)))
-        .withColumn("seen", F.col("_occ") > 0)
-        .withColumn("value", F.when(F.col("n_occ") > 0, F.when(F.col("seen"), smoothed(F.col("_hit"), F.col("_occ"), F.col("p_g")))
-                                    .otherwise(F.col("p_g"))).otherwise(0.0))
-    )
-    return _all_dict_columns(valued)
+    counts = as_table(fold_counts(dealt, lex, k), "fold-counts")
+    priors = fold_priors(counts, k).groupBy("bin").agg(
+        F.array_sort(F.collect_list(F.struct("fold", "p_g", "n_occ"))).alias("prior_f"))
+    words = lex.words
+    known = words.join(counts.select("word", "occ_f", "hit_f"), "word", "left").join(F.broadcast(priors), "bin", "left")
+
+    def at(i: int) -> Column:
+        occ, hit = (F.coalesce(others(F.col(c), F.lit(i)), F.lit(0)) for c in ("occ_f", "hit_f"))
+        prior = F.element_at("prior_f", i + 1)
+        value = F.when(occ > 0, smoothed(hit, occ, prior["p_g"])).otherwise(prior["p_g"])
+        return F.struct((occ > 0).alias("seen"), F.when(prior["n_occ"] > 0, value).otherwise(0.0).alias("value"))
+
+    valued = known.select(*words.columns, F.array(*[at(i) for i in range(k)]).alias("by_fold"))
+    matches = lattice(dealt, lex.extended(valued), keep=("fold",), every_position=True)
+    own = F.element_at("by_fold", F.col("fold") + 1)
+    return _all_dict_columns(matches.withColumn("seen", own["seen"]).withColumn("value", own["value"]))
 
 
 def word_folds(tok: DataFrame, k: int = FOLDS) -> DataFrame:
@@ -260,19 +265,22 @@ OUTSIDE = {-1: "<BOS>", 1: "<EOS>", -2: "<BOS2>", 2: "<EOS2>"}
 WINDOW_FEATURES = ("c0", "c-1", "c+1", "c-2", "c+2", "c-1_c0", "c0_c+1", "is_digit", "is_alpha", "is_punct", "in_dict")
 
 
-def window_features(sent: DataFrame, single_words: DataFrame) -> DataFrame:
+def window_features(sent: DataFrame, single_words: DataFrame, label: Column | None = None) -> DataFrame:
     """(sid, pos, 11 string columns): characters -2..+2, two bigrams, character kind, and
     whether the character is itself a training word. Neighbours are read inside the row.
 
     ``single_words(ch)`` holds one-character words: bounded by Unicode, hence broadcast.
+    ``label``, an array with one entry per character, is added as column ``y``.
     """
     chars = characters(F.col("s"))
-    packed = sent.where(F.length("s") > 0).select("sid", chars.alias("_c"))
+    extra = ["y"] if label is not None else []
+    packed = sent.where(F.length("s") > 0).select("sid", chars.alias("_c"), *([label.alias("_y")] if extra else []))
     around = {d: F.coalesce(F.try_element_at("_c", F.col("pos") + 1 + d), F.lit(OUTSIDE[d])) if d > 0 else
               F.when(F.col("pos") + d >= 0, F.try_element_at("_c", F.greatest(F.col("pos") + 1 + d, F.lit(1))))
               .otherwise(OUTSIDE[d]) for d in OUTSIDE}
-    rows = packed.select("sid", "_c", F.posexplode("_c").alias("pos", "ch")).select(
-        "sid", "pos", "ch", *[c.alias(f"c{d:+d}") for d, c in around.items()])
+    rows = packed.select("sid", "_c", *(["_y"] if extra else []), F.posexplode("_c").alias("pos", "ch")).select(
+        "sid", "pos", "ch", *[c.alias(f"c{d:+d}") for d, c in around.items()],
+        *([F.element_at("_y", F.col("pos") + 1).alias("y")] if extra else []))
     known = single_words.select("ch", F.lit("True").alias("in_dict"))
     joined = rows.join(F.broadcast(known), "ch", "left")
     c = F.col("ch")
@@ -281,7 +289,7 @@ def window_features(sent: DataFrame, single_words: DataFrame) -> DataFrame:
         return F.when(cond, "True").otherwise("False")
 
     return joined.select(
-        "sid", "pos", c.alias("c0"), F.col("`c-1`"), F.col("`c+1`"), F.col("`c-2`"), F.col("`c+2`"),
+        "sid", "pos", *extra, c.alias("c0"), F.col("`c-1`"), F.col("`c+1`"), F.col("`c-2`"), F.col("`c+2`"),
         F.when(F.col("`c-1`") != OUTSIDE[-1], F.concat("`c-1`", c)).alias("c-1_c0"),
         F.when(F.col("`c+1`") != OUTSIDE[1], F.concat(c, "`c+1`")).alias("c0_c+1"),
         flag(c.rlike(r"^\p{Nd}$")).alias("is_digit"), flag(c.rlike(r"^\p{L}$")).alias("is_alpha"),
@@ -294,6 +302,3 @@ def nonzero_features(features: DataFrame, names: Sequence[str], prefix: str) ->
     items = F.array(*[F.struct(F.lit(f"{prefix}:{n}").alias("feature"), F.col(n).alias("value")) for n in names])
     return features.select("sid", "pos", F.explode(F.filter(items, lambda x: x["value"] != 0)).alias("f")).select(
         "sid", "pos", "f.feature", "f.value")
-
-
-__all__ = ["KAPPA", "BIE_FEATURES", "DICT_FEATURES", "DICT_LEVELS", "GAP_FEATURES", "GAP_LEVELS"]

@@ -10,7 +10,7 @@ position, however long the longest word is.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +53,12 @@ class Lexicon:
         return Lexicon(words, stems, short, facts["max_len"] or 0, stem, fits_broadcast(words))
 
 
+    def extended(self, words: DataFrame) -> "Lexicon":
+        """The same words with more columns, so that a match brings them along without another join."""
+        table = as_table(words, "lexicon")
+        return replace(self, words=table, fits=fits_broadcast(table))
+
+
 def gold_lengths(words: Column) -> Column:
     """Per character: the length of the gold word starting there, 0 inside a word."""
     return F.flatten(F.transform(words, lambda w: F.concat(
