@@ -52,10 +52,11 @@ def cut_tokens(rows: DataFrame, tokens: str, size: int = SENTENCE_TOKENS) -> Dat
 
 
 def read_spread(spark: SparkSession, path: str, key: str, *columns: str) -> DataFrame:
-    """Read a parquet table; spread it by ``key`` only if it has fewer files than the cluster has cores."""
+    """Read a parquet table; spread it by ``key`` only if its scan has fewer splits than would keep
+    the cores busy (a single small file). A large table is never shuffled here."""
     df = spark.read.parquet(path).select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores * 2, key)
+    wanted = 2 * spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
 
 
 def word_spans(sent: DataFrame, words: str = "words", tags: str | None = "tags") -> DataFrame:
