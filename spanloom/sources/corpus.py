@@ -161,10 +161,12 @@ class Corpus:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        """Pre-training chunks (cid, grp, text). A run of twelve words gives few pieces, far fewer than 1,000."""
+        """Pre-training chunks (cid, grp, text), partitioned by ``cid`` like sentences by ``sid``.
+        A run of twelve words gives few pieces, far fewer than 1,000."""
         pieces = chunk_runs(self.runs.select("rid", "conv_id", "run"), "run")
-        return pieces.select((F.col("rid") * 1000 + F.col("piece")).alias("cid"),
-                             F.col("conv_id").alias("grp"), F.col("chunk").alias("text"))
+        chunks = pieces.select((F.col("rid") * 1000 + F.col("piece")).alias("cid"),
+                               F.col("conv_id").alias("grp"), F.col("chunk").alias("text"))
+        return chunks.repartition(self.partitions, "cid").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 _OPEN: dict[tuple[str, str], Corpus] = {}
