@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.script import ALNUM_CLASS, chunk_runs, length_bin
+from spanloom.functions.script import chunk_runs, length_bin
 from spanloom.operators.lattice import Lexicon
 
 SENTENCE_TOKENS = 12
@@ -178,6 +178,3 @@ def open_corpus(spark: SparkSession, path: str) -> Corpus:
     if key not in _OPEN:
         _OPEN[key] = Corpus(spark, path)
     return _OPEN[key]
-
-
-__all__ = ["ALNUM_CLASS", "Corpus", "open_corpus", "word_spans", "raw_tokens", "cut_tokens", "surrogate_tag"]
