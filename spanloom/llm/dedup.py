@@ -82,7 +82,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     maybe = marked.where("maybe")
     groups = maybe.groupBy("sha").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    copies = maybe.join(groups, "sha").select(
+    # written, so that the join has a shuffle of its own on both sides, which AQE can split for a hot text
+    copies = maybe.join(as_table(groups, "exact-groups"), "sha").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"),
         F.col("sha").alias("text_sha256"), "rid")
     alone = marked.where("not maybe").select(
