@@ -203,8 +203,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     label = components(links(values, limit), "simhash")
     labelled = values.join(label, values.fp == label.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     labelled = as_table(labelled, "simhash-labels")
-    smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_value = labelled.join(smallest, "label").select("fp", "component_id")
+    # both are written, so that each join has its own shuffles and AQE can split a hot label or fingerprint
+    smallest = as_table(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-smallest")
+    of_value = as_table(labelled.join(smallest, "label").select("fp", "component_id"), "simhash-components")
     return marked.join(of_value, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
