@@ -25,8 +25,8 @@ KINDS = ["email", "ip", "card", "phone"]
 SHORTEST = {"email": 5, "ip": 7, "card": 14, "phone": 11}
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 WINDOW, STRIDE, REACH = 64, 32, 24
-#: Windows the network learns from at most.
-SAMPLE_WINDOWS = 1600
+#: The network learns from about so many documents with a digit or "@", and from so many windows at most.
+SAMPLE_DOCS, DOC_WINDOWS, SAMPLE_WINDOWS = 1500, 20, 1600
 HIDDEN, EMBED = 12, 8
 #: 0 padding, 1 other letter, 2 other character, then printable ASCII.
 VOCAB = 3 + 95
@@ -338,19 +338,24 @@ def windows_of(text: str) -> list[tuple[str, np.ndarray]]:
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_WINDOWS) -> Tagger:
-    """Labelled windows from all documents; the ``sample`` with the smallest hashes are learnt from."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_WINDOWS, sample_docs: int = SAMPLE_DOCS) -> Tagger:
+    """Labelled windows of a sample of the documents with a digit or "@".
+
+    The sample is a hashed share of them, so that it and what reaches the driver have the same size for any input.
+    """
 
     def run(batches):
         for batch in batches:
-            rows = [(part, tags.tobytes(), hashlib.md5(part.encode()).hexdigest())
-                    for text in batch["text"] if text for part, tags in windows_of(text)]
-            # a task hands on what can be in the sample: the smallest hashes
-            best = sorted(rows, key=lambda r: (r[2], r[1]))[:sample]
-            yield pd.DataFrame(best, columns=["part", "tags", "h"])
-
-    near = docs.select(docs[text_col].alias("text")).where(F.col("text").rlike("[0-9@]"))
-    found = near.mapInPandas(run, "part string, tags binary, h string").orderBy("h", "tags").limit(sample).collect()
+            rows = []
+            for text in batch["text"]:
+                found = [(part, tags.tobytes(), hashlib.md5(part.encode()).hexdigest()) for part, tags in windows_of(text)]
+                rows += sorted(found, key=lambda r: (r[2], r[1]))[:DOC_WINDOWS]
+            yield pd.DataFrame(sorted(rows, key=lambda r: (r[2], r[1]))[:sample], columns=["part", "tags", "h"])
+
+    near = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).where(F.col("text").rlike("[0-9@]"))
+    share = min(1.0, sample_docs / max(1, near.count()))
+    drawn = near.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    found = drawn.select("text").mapInPandas(run, "part string, tags binary, h string").orderBy("h", "tags").limit(sample).collect()
     return fit([(char_ids(r["part"]), np.frombuffer(r["tags"], np.int8).astype(np.int64)) for r in found])
 
 
