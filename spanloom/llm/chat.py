@@ -2,8 +2,8 @@
 
 A turn is formatted as ``<turn>### role: text</turn>`` and a line end; "\\\\", "<" and "#" in texts (and ":" in
 roles) are escaped, so no text can look like a control string, and unescaping gives it back. A node of the
-tree is a turn under its ancestors. Its key is the chain of 128-bit hashes along the path, so the
-lexicographic order of keys is a depth-first order in which a subtree is contiguous. A range-partitioned sort
+tree is a turn under its ancestors, named by a chained 128-bit hash. The names along its path, written one
+after the other, are its sort key: the lexicographic order of keys is a depth-first order in which a subtree is contiguous. A range-partitioned sort
 and one running sum over parts' lengths then give every node its place in the sequence: no tree is ever
 gathered, however many conversations begin alike. Tokens are code points. Token j of a node has position id
 pos_start + j, and attends to the ancestors' intervals of the sequence and to its own node up to itself.
@@ -59,21 +59,22 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-NODE = "conv_id string, path binary, depth int, pos_start bigint, segment string, loss_start int, loss_end int, leaf boolean"
+NODE = "conv_id string, node binary, path binary, depth int, pos_start bigint, segment string, loss_start int, loss_end int, leaf boolean"
 
 
 def _nodes(batches):
     for batch in batches:
         rows = []
         for conv, turns in zip(batch["conv_id"], batch["turns"]):
-            path, pos = b"", 0
+            node, path, pos = b"", b"", 0
             for i, t in enumerate(turns):
                 role, text = t["role"] or "", t["text"] or ""
                 segment, start, end = format_turn(role, text)
-                path += hashlib.md5(segment.encode()).digest()
-                rows.append((conv, path, i, pos, segment, start, end, i == len(turns) - 1))
+                node = hashlib.md5(node + segment.encode()).digest()
+                path += node
+                rows.append((conv, node, path, i, pos, segment, start, end, i == len(turns) - 1))
                 pos += len(segment)
-        out = pd.DataFrame(rows, columns=["conv_id", "path", "depth", "pos_start", "segment", "loss_start", "loss_end", "leaf"])
+        out = pd.DataFrame(rows, columns=["conv_id", "node", "path", "depth", "pos_start", "segment", "loss_start", "loss_end", "leaf"])
         yield out
 
 
@@ -90,39 +91,40 @@ def _place(batches):
 def conversation_tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(emission, leaves) of conversations given by turn (conv_id, turn, role, text).
 
-    emission, one row per node: seq_start, seq_end, pos_start, depth, segment, loss_start, loss_end, path,
-    intervals (array of (start, stop) of the ancestors, root first). leaves: conv_id, path of its last turn.
+    emission, one row per node: seq_start, seq_end, pos_start, depth, segment, loss_start, loss_end, node,
+    intervals (array of (start, stop) of the ancestors, root first). leaves: conv_id, node of its last turn.
     Turns are ordered by turn, then role and text, nulls first; null role and text count as empty; rows of a
     null conv_id form one conversation; repeated rows are repeated turns; further columns are ignored; an
-    empty table gives empty results. A key grows by 16 bytes per ancestor.
+    empty table gives empty results. A sort key grows by
+    16 bytes per ancestor and a node has an interval per ancestor, so a conversation costs the square of its turns.
     """
     turns = rows.select(rows["conv_id"].cast("bigint").cast("string").alias("conv_id"), rows["turn"].cast("bigint").alias("turn"),
                         rows["role"].alias("role"), rows["text"].alias("text"))
     conv = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     made = as_table(exact_id(conv.mapInPandas(_nodes, NODE), "conv_id"), "chat-turns")
-    node = made.groupBy("path").agg(*[F.first(c).alias(c) for c in ("depth", "pos_start", "segment", "loss_start", "loss_end")])
+    node = made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("path", "depth", "pos_start", "segment", "loss_start", "loss_end")])
     ordered = node.repartitionByRange("path").sortWithinPartitions("path")
-    schema = "path binary, depth int, pos_start bigint, segment string, loss_start int, loss_end int, part int, local_end bigint, local_start bigint"
+    schema = "node binary, path binary, depth int, pos_start bigint, segment string, loss_start int, loss_end int, part int, local_end bigint, local_start bigint"
     placed = as_table(ordered.mapInPandas(_place, schema), "chat-placed")
     # one row per part of the sort: bounded by the number of partitions
     before = placed.groupBy("part").agg(F.max("local_end").alias("size")).withColumn(
         "base", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = as_table(placed.join(F.broadcast(before.select("part", "base")), "part").select(
-        "path", "depth", "pos_start", "segment", "loss_start", "loss_end",
+        "node", "path", "depth", "pos_start", "segment", "loss_start", "loss_end",
         (F.col("base") + F.col("local_start")).alias("seq_start"), (F.col("base") + F.col("local_end")).alias("seq_end")), "chat-sequence")
-    spot = placed.select("path", F.struct(F.col("seq_start").alias("start"), F.col("seq_end").alias("stop")).alias("span"))
-    above = placed.where("depth > 0").select(F.col("path").alias("node"), F.explode(F.expr(
-        f"transform(sequence(1, depth), d -> substring(path, 1, d * {KEY}))")).alias("path"))
-    intervals = above.join(spot, "path").groupBy(F.col("node").alias("path")).agg(F.sort_array(F.collect_list("span")).alias("intervals"))
-    emission = placed.join(intervals, "path", "left").withColumn(
+    spot = placed.select("node", F.struct(F.col("seq_start").alias("start"), F.col("seq_end").alias("stop")).alias("span"))
+    above = placed.where("depth > 0").select(F.col("node").alias("below"), F.explode(F.expr(
+        f"transform(sequence(0, depth - 1), d -> substring(path, d * {KEY} + 1, {KEY}))")).alias("node"))
+    intervals = above.join(spot, "node").groupBy(F.col("below").alias("node")).agg(F.sort_array(F.collect_list("span")).alias("intervals"))
+    emission = placed.drop("path").join(intervals, "node", "left").withColumn(
         "intervals", F.coalesce("intervals", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
-    return as_table(emission, "chat-emission"), made.where("leaf").select("conv_id", "path")
+    return as_table(emission, "chat-emission"), made.where("leaf").select("conv_id", "node")
 
 
 def _read(batches):
     for batch in batches:
         rows = []
-        for path, parts in zip(batch["path"], batch["parts"]):
+        for node, parts in zip(batch["node"], batch["parts"]):
             formatted, loss, pos = "", [], 0
             pieces = []
             for p in parts:
@@ -134,9 +136,9 @@ def _read(batches):
             formatted, masked = "".join(pieces), "".join(loss)
             turns = parse(formatted)
             whole = "".join(f"{role}\n{text}\n" for role, text in turns)
-            rows.append((path, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(masked),
+            rows.append((node, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(masked),
                          hashlib.sha256(masked.encode()).hexdigest(), len(formatted)))
-        yield pd.DataFrame(rows, columns=["path", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        yield pd.DataFrame(rows, columns=["node", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
 def read_back(emission: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -144,11 +146,11 @@ def read_back(emission: DataFrame, leaves: DataFrame) -> DataFrame:
 
     Each distinct conversation is read once, however many conv_ids share it.
     """
-    last = emission.join(leaves.select("path").distinct(), "path", "left_semi")
-    seen = last.select("path", F.explode(F.concat("intervals", F.array(F.struct(
-        F.col("seq_start").alias("start"), F.col("seq_end").alias("stop"))))).alias("span")).select("path", F.col("span.start").alias("seq_start"))
+    last = emission.join(leaves.select("node").distinct(), "node", "left_semi")
+    seen = last.select("node", F.explode(F.concat("intervals", F.array(F.struct(
+        F.col("seq_start").alias("start"), F.col("seq_end").alias("stop"))))).alias("span")).select("node", F.col("span.start").alias("seq_start"))
     piece = emission.select("seq_start", "pos_start", "segment", "loss_start", "loss_end")
-    parts = seen.join(piece, "seq_start").groupBy("path").agg(F.sort_array(F.collect_list(
+    parts = seen.join(piece, "seq_start").groupBy("node").agg(F.sort_array(F.collect_list(
         F.struct("seq_start", "pos_start", "segment", "loss_start", "loss_end"))).alias("parts"))
-    digests = parts.mapInPandas(_read, "path binary, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
-    return leaves.join(digests, "path").drop("path")
+    digests = parts.mapInPandas(_read, "node binary, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return leaves.join(digests, "node").drop("node")
