@@ -10,6 +10,7 @@ queries still open are compared with all codes, in blocks.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,10 @@ def _segment(code: Column, s: int) -> Column:
     return F.shiftrightunsigned(code, s * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
 
 
-def _masks(radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius)]
+def _masks(radius: int) -> Column:
+    """All segment differences of ``radius`` bits, as one foldable text literal: thousands of literals would swell the plan."""
+    masks = (sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius))
+    return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<int>")
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -69,17 +72,18 @@ def top_k(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
     settled, radius = [], 0
     while not open_.isEmpty():
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-        masks = _masks(radius) if radius <= WIDTH else []
-        if not masks or len(masks) * SEGMENTS > max(n_codes, 1):
+        if radius > WIDTH or comb(WIDTH, radius) * SEGMENTS > max(n_codes, 1):
             # fewer codes than buckets: the open queries, copied per block of codes, against all codes
             blocks = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-            hits = blocks.join(index.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(BLOCKS)).cast("int")), "block").select("q", "ids", distance.alias("d"))
+            of_block = index.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(BLOCKS)).cast("int"))
+            hits = blocks.join(of_block.hint("merge"), "block").select("q", "ids", distance.alias("d"))
             settled.append(_best(hits.select("q", F.explode("ids").alias("id"), "d"), k + 1))
             break
         probes = open_.select("q", F.posexplode(F.array(*[_segment(F.col("q"), s) for s in range(SEGMENTS)])).alias("s", "v"))
-        probes = probes.select("q", "s", F.explode(F.transform(F.lit(masks), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
+        probes = probes.select("q", "s", F.explode(F.transform(_masks(radius), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
         buckets = index.select("code", "ids", F.posexplode(F.array(*[_segment(F.col("code"), s) for s in range(SEGMENTS)])).alias("s", "v"))
-        hits = probes.join(buckets, ["s", "v"]).select("q", "code", "ids", distance.alias("d"), "s")
+        # probes are many more than the planner sees before the explode: never broadcast them
+        hits = probes.join(buckets.hint("merge"), ["s", "v"]).select("q", "code", "ids", distance.alias("d"), "s")
         # a code is taken from its first segment at the smallest radius only, so none is verified twice
         apart = [F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), s)) for s in range(SEGMENTS)]
         first = F.array_position(F.array(*[a.cast("int") for a in apart]), F.least(*[a.cast("int") for a in apart])) - 1
