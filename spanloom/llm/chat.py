@@ -24,7 +24,8 @@ from spanloom.session import as_table
 
 OPEN, MIDDLE, CLOSE = "<turn>### ", ": ", "</turn>\n"
 ASSISTANT = "assistant"
-KEY = 16
+#: Code points of the sequence that are found together when it is read by intervals.
+BLOCK = 1024
 
 _ESCAPES = {"\\": "\\\\", "<": "\\l", "#": "\\h", ":": "\\c"}
 _BACK = {v[1]: k for k, v in _ESCAPES.items()}
@@ -59,22 +60,23 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-NODE = "conv_id string, node binary, path binary, depth int, pos_start bigint, segment string, loss_start int, loss_end int, leaf boolean"
+NODE = "conv_id string, last binary, node binary, path binary, depth int, pos_start bigint, segment string, loss_start int, loss_end int, leaf boolean"
 
 
 def _nodes(batches):
     for batch in batches:
         rows = []
         for conv, turns in zip(batch["conv_id"], batch["turns"]):
-            node, path, pos = b"", b"", 0
+            node, path, pos, own = b"", b"", 0, []
             for i, t in enumerate(turns):
                 role, text = t["role"] or "", t["text"] or ""
                 segment, start, end = format_turn(role, text)
                 node = hashlib.md5(node + segment.encode()).digest()
                 path += node
-                rows.append((conv, node, path, i, pos, segment, start, end, i == len(turns) - 1))
+                own.append((node, path, i, pos, segment, start, end, i == len(turns) - 1))
                 pos += len(segment)
-        out = pd.DataFrame(rows, columns=["conv_id", "node", "path", "depth", "pos_start", "segment", "loss_start", "loss_end", "leaf"])
+            rows += [(conv, node, *x) for x in own]
+        out = pd.DataFrame(rows, columns=["conv_id", "last", "node", "path", "depth", "pos_start", "segment", "loss_start", "loss_end", "leaf"])
         yield out
 
 
@@ -88,15 +90,30 @@ def _place(batches):
         at = int(ends.iloc[-1]) if len(ends) else at
 
 
+def _intervals(batches):
+    """(node, intervals) of each turn of a path: the spans of the turns before it, touching ones as one."""
+    for batch in batches:
+        rows = []
+        for turns in batch["turns"]:
+            spans: list[tuple[int, int]] = []
+            for t in turns:
+                rows.append((t["node"], list(spans)))
+                if spans and spans[-1][1] == t["start"]:
+                    spans[-1] = (spans[-1][0], t["stop"])
+                else:
+                    spans.append((t["start"], t["stop"]))
+        yield pd.DataFrame(rows, columns=["node", "intervals"])
+
+
 def conversation_tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(emission, leaves) of conversations given by turn (conv_id, turn, role, text).
 
     emission, one row per node: seq_start, seq_end, pos_start, depth, segment, loss_start, loss_end, node,
-    intervals (array of (start, stop) of the ancestors, root first). leaves: conv_id, node of its last turn.
+    intervals (array of (start, stop) that cover the ancestors, root first; touching ones are one). leaves: conv_id, node of its last turn.
     Turns are ordered by turn, then role and text, nulls first; null role and text count as empty; rows of a
     null conv_id form one conversation; repeated rows are repeated turns; further columns are ignored; an
     empty table gives empty results. A sort key grows by
-    16 bytes per ancestor and a node has an interval per ancestor, so a conversation costs the square of its turns.
+    16 bytes per ancestor; turns that no other conversation branches off from share one interval.
     """
     turns = rows.select(rows["conv_id"].cast("bigint").cast("string").alias("conv_id"), rows["turn"].cast("bigint").alias("turn"),
                         rows["role"].alias("role"), rows["text"].alias("text"))
@@ -112,12 +129,13 @@ def conversation_tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = as_table(placed.join(F.broadcast(before.select("part", "base")), "part").select(
         "node", "path", "depth", "pos_start", "segment", "loss_start", "loss_end",
         (F.col("base") + F.col("local_start")).alias("seq_start"), (F.col("base") + F.col("local_end")).alias("seq_end")), "chat-sequence")
-    spot = placed.select("node", F.struct(F.col("seq_start").alias("start"), F.col("seq_end").alias("stop")).alias("span"))
-    above = placed.where("depth > 0").select(F.col("node").alias("below"), F.explode(F.expr(
-        f"transform(sequence(0, depth - 1), d -> substring(path, d * {KEY} + 1, {KEY}))")).alias("node"))
-    intervals = above.join(spot, "node").groupBy(F.col("below").alias("node")).agg(F.sort_array(F.collect_list("span")).alias("intervals"))
-    emission = placed.drop("path").join(intervals, "node", "left").withColumn(
-        "intervals", F.coalesce("intervals", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
+    # one row per turn of each distinct conversation, never one per pair of turns
+    turn = made.select("last", "node", "depth").distinct()
+    spots = as_table(turn.join(placed.select("node", F.col("seq_start").alias("start"), F.col("seq_end").alias("stop")), "node"), "chat-spots")
+    paths = spots.groupBy("last").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "start", "stop"))).alias("turns"))
+    each = paths.select("turns").mapInPandas(_intervals, "node binary, intervals array<struct<start:bigint,stop:bigint>>")
+    of_node = as_table(each.groupBy("node").agg(F.first("intervals").alias("intervals")), "chat-intervals")
+    emission = placed.drop("path").join(of_node, "node")
     return as_table(emission, "chat-emission"), made.where("leaf").select("conv_id", "node")
 
 
@@ -147,10 +165,12 @@ def read_back(emission: DataFrame, leaves: DataFrame) -> DataFrame:
     Each distinct conversation is read once, however many conv_ids share it.
     """
     last = emission.join(leaves.select("node").distinct(), "node", "left_semi")
-    seen = last.select("node", F.explode(F.concat("intervals", F.array(F.struct(
-        F.col("seq_start").alias("start"), F.col("seq_end").alias("stop"))))).alias("span")).select("node", F.col("span.start").alias("seq_start"))
-    piece = emission.select("seq_start", "pos_start", "segment", "loss_start", "loss_end")
-    parts = seen.join(piece, "seq_start").groupBy("node").agg(F.sort_array(F.collect_list(
+    own = F.array(F.struct(F.col("seq_start").alias("start"), F.col("seq_end").alias("stop")))
+    span = last.select("node", F.explode(F.concat("intervals", own)).alias("span")).select("node", "span.start", "span.stop")
+    # an interval is looked up in the blocks of the sequence that it touches
+    seen = span.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("stop") - 1) / BLOCK))))
+    piece = emission.select(F.floor(F.col("seq_start") / BLOCK).alias("block"), "seq_start", "pos_start", "segment", "loss_start", "loss_end")
+    parts = seen.join(piece, "block").where("seq_start >= start and seq_start < stop").groupBy("node").agg(F.sort_array(F.collect_list(
         F.struct("seq_start", "pos_start", "segment", "loss_start", "loss_end"))).alias("parts"))
     digests = parts.mapInPandas(_read, "node binary, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
     return leaves.join(digests, "node").drop("node")
