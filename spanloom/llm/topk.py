@@ -1,26 +1,34 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes of 64 bits are cut into four segments of 16. If two codes differ in at most 4r + 3 bits, some segment
-differs in at most r. So after all buckets within radius r of a query's segments have been looked up and
-verified, everything up to distance 4r + 3 is known: a query whose k-th verified distance is not larger is
-finished, the others go on with radius r + 1. Once a radius has more buckets than there are codes, the
+Codes of 64 bits are cut into m segments of about as many bits as the number of codes has, so that a bucket holds
+about one code at any size. If two codes differ in at most m(r + 1) - 1 bits, some segment differs in at most r. So
+after all buckets within radius r of a query's segments have been looked up and verified, everything up to that
+distance is known: a query whose k-th verified distance is not larger is finished, the others go on with radius
+r + 1. A bucket's codes are verified inside the join, and only those no farther than the k-th so far leave it. Once a radius has more buckets than there are codes, the
 queries still open are compared with all codes, in blocks.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import comb, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.session import as_table
 
-SEGMENTS, WIDTH = 4, 16
+BITS = 64
 BLOCKS = 64
 
 
+def segments(codes: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each segment for an index of so many codes."""
+    m = max(2, min(8, round(BITS / log2(max(2, codes)))))
+    widths = [BITS // m + (i < BITS % m) for i in range(m)]
+    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+
+
 def sign_code(vector: Column) -> Column:
     """Bit i of a BIGINT is set if component i of up to 64 is above zero; null, missing and NaN components count as not."""
     bits = F.transform(F.coalesce(vector, F.array().cast("array<float>")), lambda x, i: F.call_function(
@@ -28,14 +36,14 @@ def sign_code(vector: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
 
 
-def _segment(code: Column, s: int) -> Column:
-    return F.shiftrightunsigned(code, s * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+def _segment(code: Column, first: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _masks(radius: int) -> Column:
-    """All segment differences of ``radius`` bits, as one foldable text literal: thousands of literals would swell the plan."""
-    masks = (sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius))
-    return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<int>")
+def _masks(radius: int, width: int) -> Column:
+    """All differences of ``radius`` bits, as one foldable text literal: thousands of literals would swell the plan."""
+    masks = (sum(1 << b for b in bits) for bits in combinations(range(width), radius))
+    return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -67,36 +75,45 @@ def top_k(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
     index = as_table(_first_ids(coded.select("id", "code"), k + 1), "topk-index")
     n_codes = index.count()
     asked = as_table(coded.where("asks").select("id", "code"), "topk-asked")
-    open_ = as_table(asked.select(F.col("code").alias("q")).distinct(), "topk-open")
+    cuts = segments(n_codes)
+    open_ = as_table(asked.select(F.col("code").alias("q"), F.lit(BITS).alias("bound")).distinct(), "topk-open")
     found = as_table(open_.select("q", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("int").alias("d")).where("false"), "topk-found")
     settled, radius = [], 0
     while not open_.isEmpty():
+        # the k-th distance so far bounds what is still of use; equal distances count for their ids
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-        if radius > WIDTH or comb(WIDTH, radius) * SEGMENTS > max(n_codes, 1):
+        widest = cuts[0][1]
+        if radius > widest or comb(widest, radius) * len(cuts) > max(n_codes, 1):
             # fewer codes than buckets: the open queries, copied per block of codes, against all codes
             blocks = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
             of_block = index.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(BLOCKS)).cast("int"))
-            hits = blocks.join(of_block.hint("merge"), "block").select("q", "ids", distance.alias("d"))
+            hits = blocks.join(of_block.hint("merge"), "block").where(distance <= F.col("bound")).select("q", "ids", distance.alias("d"))
             settled.append(_best(hits.select("q", F.explode("ids").alias("id"), "d"), k + 1))
             break
-        probes = open_.select("q", F.posexplode(F.array(*[_segment(F.col("q"), s) for s in range(SEGMENTS)])).alias("s", "v"))
-        probes = probes.select("q", "s", F.explode(F.transform(_masks(radius), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-        buckets = index.select("code", "ids", F.posexplode(F.array(*[_segment(F.col("code"), s) for s in range(SEGMENTS)])).alias("s", "v"))
+        parts = lambda code: F.posexplode(F.array(*[_segment(F.col(code), *c) for c in cuts])).alias("s", "v")
+        masks = F.lit(None).cast("array<bigint>")
+        for width in {w for _, w in cuts}:
+            of_width = F.col("s").isin([i for i, (_, w) in enumerate(cuts) if w == width])
+            masks = F.when(of_width, _masks(radius, width)).otherwise(masks)
+        probes = open_.select("q", "bound", parts("q"))
+        probes = probes.select("q", "bound", "s", F.explode(F.transform(masks, lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
+        buckets = index.select("code", "ids", parts("code"))
         # probes are many more than the planner sees before the explode: never broadcast them
-        hits = probes.join(buckets.hint("merge"), ["s", "v"]).select("q", "code", "ids", distance.alias("d"), "s")
+        hits = probes.join(buckets.hint("merge"), ["s", "v"])
         # a code is taken from its first segment at the smallest radius only, so none is verified twice
-        apart = [F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), s)) for s in range(SEGMENTS)]
-        first = F.array_position(F.array(*[a.cast("int") for a in apart]), F.least(*[a.cast("int") for a in apart])) - 1
-        hits = hits.where((first == F.col("s")) & (F.least(*apart) == radius))
-        # nearer than the current k-th only: the hits of a query are cut down before they meet
+        apart = [F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), *c)) for c in cuts]
+        first = F.array_position(F.array(*apart), F.least(*apart)) - 1
+        hits = hits.where((distance <= F.col("bound")) & (first == F.col("s")) & (F.least(*apart) == radius)).select("q", "ids", distance.alias("d"))
         new = hits.select("q", F.explode("ids").alias("id"), F.col("d").cast("int").alias("d"))
         best = as_table(_best(found.unionByName(new), k + 1), "topk-found")
         last = best.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("kth"))
-        sure = F.lit(SEGMENTS * (radius + 1) - 1)
+        sure = F.lit(len(cuts) * (radius + 1) - 1)
         done = as_table(last.where((F.col("n") >= k + 1) & (F.col("kth") <= sure)).select("q"), "topk-done")
         settled.append(best.join(done, "q", "left_semi"))
-        open_ = as_table(open_.join(done, "q", "left_anti"), "topk-open")
-        found = best.join(open_, "q", "left_semi")
+        known = last.where(F.col("n") >= k + 1).select("q", "kth")
+        open_ = as_table(open_.join(done, "q", "left_anti").join(known, "q", "left").select(
+            "q", F.coalesce("kth", F.lit(BITS)).cast("int").alias("bound")), "topk-open")
+        found = best.join(open_.select("q"), "q", "left_semi")
         radius += 1
     result = settled[0] if settled else found
     for part in settled[1:]:
