@@ -1,7 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes of 64 bits are cut into m segments of about as many bits as the number of codes has, so that a bucket holds
-about one code at any size. If two codes differ in at most m(r + 1) - 1 bits, some segment differs in at most r. So
+Codes of 64 bits are cut into m segments of about as many bits as the number of codes has, rather fewer than more, so
+that a bucket holds a few codes at any size: verifying these is cheaper than probing more buckets. If two codes differ in at most m(r + 1) - 1 bits, some segment differs in at most r. So
 after all buckets within radius r of a query's segments have been looked up and verified, everything up to that
 distance is known: a query whose k-th verified distance is not larger is finished, the others go on with radius
 r + 1. A bucket's codes are verified inside the join, and only those no farther than the k-th so far leave it. Once a radius has more buckets than there are codes, the
@@ -11,7 +11,7 @@ queries still open are compared with all codes, in blocks.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb, log2
+from math import ceil, comb, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ BLOCKS = 64
 
 def segments(codes: int) -> list[tuple[int, int]]:
     """(first bit, width) of each segment for an index of so many codes."""
-    m = max(2, min(8, round(BITS / log2(max(2, codes)))))
+    m = max(2, min(8, ceil(BITS / log2(max(2, codes)))))
     widths = [BITS // m + (i < BITS % m) for i in range(m)]
     return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
 
