@@ -10,6 +10,7 @@ from spanloom.catalog.relations import LONG_BIN, define
 from spanloom.catalog.vocab_queries import IN_A, stats_of, words_of
 from spanloom.operators import features as fe
 from spanloom.operators import lattice as la
+from spanloom.operators import splits as sp
 from spanloom.operators import vocab as vo
 from spanloom.session import as_table
 from spanloom.sources.corpus import Corpus
@@ -29,16 +30,32 @@ def o51(c: Corpus) -> DataFrame:
     return packed_spans(la.lattice(c.sent, c.lex))
 
 
-define("merged", """SELECT word FROM (SELECT word FROM lex WHERE length(word) BETWEEN 2 AND 4 UNION SELECT word FROM lex2)
-    WHERE NOT list_bool_or(list_transform(string_split(word, ''), lambda x: x NOT IN ('a', 'e', 'i', 'o', 'u', 'n', 'r', 's', 't', 'd', 'l', 'h', 'c')))""")
-VOCAB_CHARS = tuple("aeiounrstdlhc")
+# The vocabulary covers the training groups only, so that validation text may hold unknown characters.
+define("groups", """SELECT conv_id AS grp, CASE WHEN row_number() OVER (ORDER BY md5('42|' || conv_id), conv_id) <= 5 THEN 'valid' ELSE 'train' END AS part
+    FROM (SELECT DISTINCT conv_id FROM conversations)""")
+define("pt_vocab", """SELECT ch, row_number() OVER (ORDER BY ch) + 4 AS id FROM (
+        SELECT ch FROM (SELECT unnest(string_split(text, '')) AS ch FROM chunks JOIN groups USING (grp) WHERE part = 'train')
+        UNION SELECT substr(word, 1, 1) FROM lex)
+    UNION ALL SELECT unnest(['[PAD]', '[UNK]', '[MASK]', '[CLS]', '[SEP]']), unnest([0, 1, 2, 3, 4])""")
+define("merged_base", "SELECT word FROM lex WHERE length(word) BETWEEN 2 AND 4 UNION SELECT word FROM lex2")
+define("merged", """SELECT word FROM merged_base WHERE word NOT IN (
+    SELECT word FROM (SELECT word, unnest(string_split(word, '')) AS ch FROM merged_base) WHERE ch NOT IN (SELECT ch FROM pt_vocab))""")
+
+
+def vocab_of(c: Corpus) -> DataFrame:
+    if not hasattr(c, "_pt_vocab"):
+        groups = sp.group_split(c.table("conversations"), "conv_id").where(F.col("split") == "train")
+        train = c.chunks.join(groups.select(F.col("conv_id").alias("grp")), "grp", "left_semi")
+        chars = vo.distinct_chars(train, "text")
+        heads = c.lex.words.select(F.substring("word", 1, 1).alias("ch"))
+        c._pt_vocab = as_table(vo.char_ids_specials_first(chars, heads), "pretrain-vocab")
+    return c._pt_vocab
 
 
 def merged_of(c: Corpus) -> la.Lexicon:
-    """Words of both sources spelled with a small character vocabulary, so that the filter has work to do."""
+    """Words of both sources spelled with the characters of the pre-training vocabulary."""
     if not hasattr(c, "_merged"):
-        vocab = c.spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in VOCAB_CHARS])).alias("ch"))
-        c._merged = la.Lexicon.build(la.merged_words(c.lex.words, c.lex2_words, vocab))
+        c._merged = la.Lexicon.build(la.merged_words(c.lex.words, c.lex2_words, vocab_of(c).select("ch")))
     return c._merged
 
 

@@ -35,7 +35,7 @@ RELATIONS: dict[str, str] = {
     "lab": "SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id",
     "lab_words": """SELECT word, bool_or(good) AS good, bool_or(bad) AS bad FROM doc_words JOIN lab USING (doc_id) GROUP BY word""",
     "lex_base": f"""SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '{TOKENS}')) AS word FROM benchmark)
-        WHERE length(word) BETWEEN 2 AND 8""",
+        WHERE length(word) >= 2""",
     "lex": f"""SELECT word, {LONG_BIN} AS bin, coalesce(good, false) AS has_yi, coalesce(bad, false) AS has_yin,
         word IN (SELECT word FROM conv_words) AS has_book_title FROM lex_base LEFT JOIN lab_words USING (word)""",
     "lex2": "SELECT word FROM conv_words WHERE length(word) BETWEEN 2 AND 4",
@@ -56,7 +56,7 @@ RELATIONS: dict[str, str] = {
         USING (ch)""",
     "spots": "SELECT sid, s, unnest(range(0, length(s))) AS start FROM sent",
     "cand": """SELECT sid, start, l AS len, start + l AS stop, substr(s, start + 1, l) AS word
-        FROM spots, (SELECT unnest(range(2, 9)) AS l) WHERE start + l <= length(s)""",
+        FROM spots, (SELECT DISTINCT length(word) AS l FROM lex_base) WHERE start + l <= length(s)""",
     "lat": "SELECT sid, start, stop, cand.len AS len, word, bin, has_yi, has_yin, has_book_title FROM cand JOIN lex USING (word)",
     "gold_hit": """SELECT l.*, t.sid IS NOT NULL AS is_gold FROM lat l
         LEFT JOIN tok t ON t.sid = l.sid AND t.start = l.start AND t.stop = l.stop""",

@@ -256,8 +256,8 @@ define("test_tok", """SELECT t.*, p.sid IS NOT NULL AS correct, coalesce(p.tag =
     FROM tok t JOIN splits USING (sid) LEFT JOIN pred p ON p.sid = t.sid AND p.start = t.start AND p.stop = t.stop WHERE split = 'test'""")
 define("test_pred", "SELECT pred.*, category FROM pred JOIN splits USING (sid) WHERE split = 'test'")
 COUNTS = "count(*) AS g, count(*) FILTER (correct) AS c, count(*) FILTER (correct AND tag_ok) AS t, count(*) FILTER (NOT iv) AS ot, count(*) FILTER (NOT iv AND correct) AS oc, count(*) FILTER (iv) AS it, count(*) FILTER (iv AND correct) AS ic, count(DISTINCT sid) AS n"
-define("test_sums", f"""SELECT g.*, p FROM (SELECT coalesce(category, 'ALL') AS category, {COUNTS} FROM test_tok GROUP BY GROUPING SETS ((category), ())) g
-    JOIN (SELECT coalesce(category, 'ALL') AS category, count(*) AS p FROM test_pred GROUP BY GROUPING SETS ((category), ())) USING (category)""")
+define("test_sums", f"""SELECT g.*, p FROM (SELECT CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE coalesce(category, 'none') END AS category, {COUNTS} FROM test_tok GROUP BY GROUPING SETS ((category), ())) g
+    JOIN (SELECT CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE coalesce(category, 'none') END AS category, count(*) AS p FROM test_pred GROUP BY GROUPING SETS ((category), ())) USING (category)""")
 
 
 def ratio_sql(a: str, b: str) -> str:
@@ -331,8 +331,8 @@ define("cv_gold", """SELECT m.method, t.sid, t.run, t.category, p.sid IS NOT NUL
     FROM cv_tok t, cv_methods m""".replace("FROM cv_tok t, cv_methods m", "FROM cv_tok t CROSS JOIN cv_methods m") + """
     LEFT JOIN cv_pred p ON p.method = m.method AND p.sid = t.sid AND p.start = t.start AND p.stop = t.stop
     LEFT JOIN cv_vocab v ON v.run = t.run AND v.word = t.word LEFT JOIN cv_modal md ON md.run = t.run AND md.word = t.word""")
-define("cv_sums", f"""SELECT g.*, p FROM (SELECT method, run, coalesce(category, 'ALL') AS category, {COUNTS} FROM cv_gold GROUP BY GROUPING SETS ((method, run, category), (method, run))) g
-    JOIN (SELECT method, run, coalesce(category, 'ALL') AS category, count(*) AS p FROM cv_pred GROUP BY GROUPING SETS ((method, run, category), (method, run))) USING (method, run, category)""")
+define("cv_sums", f"""SELECT g.*, p FROM (SELECT method, run, CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE coalesce(category, 'none') END AS category, {COUNTS} FROM cv_gold GROUP BY GROUPING SETS ((method, run, category), (method, run))) g
+    JOIN (SELECT method, run, CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE coalesce(category, 'none') END AS category, count(*) AS p FROM cv_pred GROUP BY GROUPING SETS ((method, run, category), (method, run))) USING (method, run, category)""")
 define("cv_long", " UNION ALL ".join(
     f"SELECT method, category, run AS fold, '{n}' AS metric, {e} AS value, n FROM cv_sums" for n, e in METRIC_SQL.items()))
 
@@ -390,26 +390,27 @@ def o93(c: Corpus) -> DataFrame:
     return ex.grid(cv_of(c)).select("method", "category", "fold", "metric", r6("value").alias("value")).unionByName(unknown)
 
 
-FOLD0_SQL = f"SELECT method, {metrics_sql(*METRIC_SQL)} FROM cv_sums WHERE category = 'ALL' AND run = 0"
+FOLDS_SQL = f"SELECT method, run::INT AS fold, category, {metrics_sql(*METRIC_SQL)} FROM cv_sums"
 
 
-@query("o06_results_sink", FOLD0_SQL)
+@query("o06_results_sink", FOLDS_SQL)
 def o06(c: Corpus) -> DataFrame:
     path = scratch_path(c.spark, "results")
-    sinks.save_results(overall(c).where(F.col("fold") == 0), path)
-    schema = "method STRING, " + ", ".join(f"`{m}` DOUBLE" for m in ev.METRICS)
-    return rounded(c.spark.read.schema(schema).json(path), ("method",), (), ev.METRICS)
+    keys = ("method", "fold", "category")
+    sinks.save_results(cv_of(c), path, keys)
+    schema = "method STRING, fold INT, category STRING, " + ", ".join(f"`{m}` DOUBLE" for m in ev.METRICS)
+    return rounded(c.spark.read.schema(schema).json(path), keys, (), ev.METRICS)
 
 
-@query("o07_run_log", "SELECT m.method, 'documents' AS corpus, 2::BIGINT AS runs, mode || '/' || src AS config, " + ", ".join(
-    f'round({e}, 4) AS "{n}"' for n, e in METRIC_SQL.items()) + " FROM cv_sums JOIN cv_methods m USING (method) WHERE category = 'ALL' AND run = 0")
+@query("o07_run_log", "SELECT m.method, 'documents/' || run AS corpus, 1::BIGINT AS runs, mode || '/' || src AS config, " + ", ".join(
+    f'round({e}, 4) AS "{n}"' for n, e in METRIC_SQL.items()) + " FROM cv_sums JOIN cv_methods m USING (method) WHERE category = 'ALL'")
 def o07(c: Corpus) -> DataFrame:
-    """Two runs are appended; the log is read back and unpacked per method."""
+    """Every fold is appended as a run; the log is read back and unpacked per method."""
     path = scratch_path(c.spark, "run-log")
     config = c.spark.createDataFrame([(n, f"{m}/{s}") for n, (m, s) in ex.METHODS.items()], "method string, config string")
-    record = sinks.run_record(overall(c).where(F.col("fold") == 0), "documents", config, None, 1.234)
-    sinks.append_run_log(record, path)
-    sinks.append_run_log(record, path)
+    for fold in range(ex.FOLDS):
+        record = sinks.run_record(overall(c).where(F.col("fold") == fold), f"documents/{fold}", config, None, 1.234)
+        sinks.append_run_log(record, path)
     inner = ", ".join(f"`{m}`: DOUBLE" for m in ev.METRICS)
     log = c.spark.read.schema(f"""timestamp STRING, corpus STRING, max_sentences INT, elapsed_seconds DOUBLE,
         methods_config ARRAY<STRUCT<method: STRING, config: STRING>>, results ARRAY<STRUCT<method: STRING, r: STRUCT<{inner}>>>""").json(path)
@@ -425,25 +426,25 @@ def o101(c: Corpus) -> DataFrame:
     return incremental_word_freq(stream_words(c.spark, c.path, "documents.parquet", schema))
 
 
-@query("o102_fit_transform", "SELECT sid, tokens FROM (" + TAGGED_SQL.format("pred") + ") JOIN splits USING (sid) WHERE split = 'test'")
+@query("o102_fit_transform", TAGGED_SQL.format("pred"))
 def o102(c: Corpus) -> DataFrame:
     model = DictionarySegmenter("bidirectional", "combined", c.lex.words).fit(part(c, "train"))
-    out = model.transform(part(c, "test").select("sid", "s"))
+    out = model.transform(c.sent.select("sid", "s"))
     return out.select("sid", tokens("pred_words", "pred_tags").alias("tokens"))
 
 
 define_matching("full", f"SELECT DISTINCT 'corpus' AS src, 0 AS run, word FROM (SELECT word FROM tok UNION {SINGLES_SQL})",
-                "SELECT sid, 0 AS run, s FROM sent JOIN splits USING (sid) WHERE split = 'test'")
+                "SELECT sid, 0 AS run, s FROM sent")
 define("full_pred", """SELECT p.sid, start, substr(s, start + 1, stop - start) AS word, coalesce(m.tag, 'x') AS tag
     FROM full_seg p JOIN sent ON sent.sid = p.sid LEFT JOIN modal m ON m.word = substr(s, start + 1, stop - start) WHERE mode = 'bidirectional'""")
 
 
 @query("o103_retrain_and_persist", TAGGED_SQL.format("full_pred"))
 def o103(c: Corpus) -> DataFrame:
-    """Fit on all sentences, save, load, and segment the test part with what was loaded."""
+    """Fit on all sentences, save, load, and segment every sentence with what was loaded."""
     path = scratch_path(c.spark, "segmenter")
     DictionarySegmenter("bidirectional", "corpus").fit(c.sent).save(path)
-    out = DictionarySegmenterModel.load(c.spark, path).transform(part(c, "test").select("sid", "s"))
+    out = DictionarySegmenterModel.load(c.spark, path).transform(c.sent.select("sid", "s"))
     return out.select("sid", tokens("pred_words", "pred_tags").alias("tokens"))
 
 

@@ -35,7 +35,7 @@ def o01(c: Corpus) -> DataFrame:
     path = scratch_path(c.spark, "tagged-lines")
     corpus_lines(c).select("line").write.text(path)
     read = readers.read_tagged_corpus(c.spark, path)
-    return read.select(F.trim("line_id").alias("line_id"), "category", joined("words").alias("words"), joined("tags").alias("tags"))
+    return read.select("line_id", "category", joined("words").alias("words"), joined("tags").alias("tags"))
 
 
 def lexicon_file(c: Corpus) -> str:
@@ -84,12 +84,14 @@ def o04(c: Corpus) -> DataFrame:
 
 @query("o05_unlabelled_records", """
     SELECT conv_id::VARCHAR AS uuid, turn::VARCHAR AS readable_id, length(text)::BIGINT AS n_chars, md5(text) AS digest
-    FROM conversations WHERE turn % 5 <> 0 AND text <> ''""")
+    FROM conversations WHERE text <> ''""")
 def o05(c: Corpus) -> DataFrame:
     path = scratch_path(c.spark, "records")
     conv = c.table("conversations")
-    conv.select(F.col("conv_id").cast("string").alias("uuid"), F.col("turn").cast("string").alias("readableId"),
-                F.when(F.col("turn") % 5 == 0, "").otherwise(F.col("text")).alias("originalText")).write.json(path)
+    rows = conv.select(F.col("conv_id").cast("string").alias("uuid"), F.col("turn").cast("string").alias("readableId"),
+                       F.col("text").alias("originalText"))
+    blank = rows.where("readableId = '0'").withColumn("originalText", F.lit(""))  # added, for the filter to drop
+    rows.unionByName(blank).write.json(path)
     read = readers.read_records(c.spark, path, multi_line=False)
     return read.select("uuid", F.col("readableId").alias("readable_id"),
                        F.length("originalText").cast("bigint").alias("n_chars"), F.md5("originalText").alias("digest"))

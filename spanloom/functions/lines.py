@@ -39,7 +39,7 @@ def strip_header(line: Column) -> Column:
 
 def line_id(line: Column) -> Column:
     """The leading identifier, empty when there is none."""
-    return F.regexp_extract(line, HEADER.replace("(?:", "(", 1), 1)
+    return F.regexp_replace(F.regexp_extract(line, HEADER, 0), r"(?U)\s+$", "")
 
 
 def line_category(line: Column) -> Column:

@@ -180,5 +180,6 @@ def merged_words(first: DataFrame, second: DataFrame, vocab_chars: DataFrame, mi
     both = first.select("word").unionByName(second.select("word")).where(
         F.length("word").between(min_len, max_len)).distinct()
     spelled = both.select("word", F.explode(F.array_distinct(F.split("word", ""))).alias("ch"))
-    unknown = spelled.join(vocab_chars.select("ch"), "ch", "left_anti").select("word").distinct()
+    # one row per character: Unicode bounds what is broadcast
+    unknown = spelled.join(F.broadcast(vocab_chars.select("ch")), "ch", "left_anti").select("word").distinct()
     return both.join(unknown, "word", "left_anti").withColumn("bin", length_bin(F.length("word")))

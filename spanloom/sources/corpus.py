@@ -20,7 +20,7 @@ SENTENCE_TOKENS = 12
 SID_STRIDE = 10_000_000
 TURN_STRIDE = 10_000
 RUN_STRIDE = 1_000_000
-LEX_MIN, LEX_MAX = 2, 8
+LEX_MIN = 2
 LEX2_MIN, LEX2_MAX = 2, 4
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
@@ -119,7 +119,7 @@ class Corpus:
         """External lexicon with three flags; one row per word."""
         words = (
             self.table("benchmark").select(F.explode(raw_tokens(F.lower("text"))).alias("word"))
-            .where(F.length("word").between(LEX_MIN, LEX_MAX)).distinct()
+            .where(F.length("word") >= LEX_MIN).distinct()
         )
         labelled = self.table("labels").groupBy("doc_id").agg(
             F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("bad"))

@@ -21,7 +21,7 @@ def test_sample_lines(spark):
     rows = parsed(spark)
     assert rows[0]["words"] == ["𘴈", "𘏨", "𗉋", "𗖰𗚩", "𘐳", "𗤁𗰗𘉋"]
     assert rows[0]["tags"] == list("aaanqm") and rows[0]["category"] == "scripture"
-    assert rows[0]["line_id"].strip() == "68.1.1"
+    assert rows[0]["line_id"] == "68.1.1"
     assert rows[1]["words"] == ["𘋢𗥤", "𘞌", "𘟀"]  # the last token has no slash
     assert rows[2]["category"] == "secular" and rows[2]["tags"] == ["n", "t", "Dir1.", "Erg.", "a"]
 

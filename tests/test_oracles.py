@@ -13,9 +13,9 @@ SAMPLE = ["o13_token_recovery", "o24_joint_to_words", "o35_modal_tag", "o48_adja
 
 
 def test_every_inventory_row_has_a_query():
-    ids = {int(re.match(r"o(\d+)_", name).group(1)) for name in entry.queries()}
-    assert ids == set(range(1, 104))
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"o79_character_tagger", "o80_char2vec"}
+    names = {name for name in entry.queries() if re.match(r"o\d+_", name)}
+    assert {int(re.match(r"o(\d+)_", name).group(1)) for name in names} == set(range(1, 104))
+    assert names - set(entry.oracle_sql()) == {"o79_character_tagger", "o80_char2vec"}
 
 
 @pytest.fixture(scope="module")
