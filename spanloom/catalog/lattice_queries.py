@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.catalog.registry import query, r6, weighted, weighted_sql
 from spanloom.catalog.relations import LONG_BIN, define
-from spanloom.catalog.vocab_queries import IN_A, stats_of, words_of
+from spanloom.catalog.vocab_queries import in_a, stats_of, words_of
 from spanloom.operators import features as fe
 from spanloom.operators import lattice as la
 from spanloom.operators import splits as sp
@@ -213,8 +213,8 @@ def domain_sums(vectors: DataFrame) -> DataFrame:
 def o62(c: Corpus) -> DataFrame:
     tok = words_of(c)
     both = c.lex.words.select("word").union(la.internal_words(tok, c.lex.words).select("word"))
-    words = la.Lexicon.build(both.join(vo.domain_shares(tok, IN_A), "word", "left"))
-    return domain_sums(fe.domain_features(c.sent, words, IN_A))
+    words = la.Lexicon.build(both.join(vo.domain_shares(tok, in_a()), "word", "left"))
+    return domain_sums(fe.domain_features(c.sent, words, in_a()))
 
 
 define("gaps", """SELECT c.sid, c.pos, coalesce(p.logfreq, 0.0) AS "R_freq", coalesce(p.assoc, 0.0) AS "R_assoc",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.catalog.lattice_queries import bie_sql, covered_sql, domain_sql, domain_sums, rel_sql, with_zero_rows, META_SQL
 from spanloom.catalog.registry import query, weighted
 from spanloom.catalog.relations import define
-from spanloom.catalog.vocab_queries import IN_A, words_of
+from spanloom.catalog.vocab_queries import in_a, words_of
 from spanloom.operators import features as fe
 from spanloom.operators import lattice as la
 from spanloom.operators import splits as sp
@@ -109,12 +109,12 @@ define("oof_dom_pos", """SELECT sid, pos, avg(coalesce(share_a, own_a)) AS share
 
 @query("o73_oof_domain_vectors", domain_sql("oof_dom_pos"))
 def o73(c: Corpus) -> DataFrame:
-    in_a, one = IN_A, F.lit(1).cast("bigint")
+    inside, one = in_a(), F.lit(1).cast("bigint")
     counts = fold_words(c).where(F.length("word") >= 2).groupBy("word").agg(
-        sp.per_fold(F.when(in_a, one), F.col("fold")).alias("a_f"), sp.per_fold(F.when(~in_a, one), F.col("fold")).alias("b_f"))
+        sp.per_fold(F.when(inside, one), F.col("fold")).alias("a_f"), sp.per_fold(F.when(~inside, one), F.col("fold")).alias("b_f"))
     both = c.lex.words.select("word", F.lit(True).alias("external")).union(
         la.internal_words(words_of(c), c.lex.words).select("word", F.lit(False)))
     words = la.Lexicon.build(both.join(counts, "word", "left"))
-    return domain_sums(fe.oof_domain_features(dealt(c), words, in_a))
+    return domain_sums(fe.oof_domain_features(dealt(c), words, inside))
 
 

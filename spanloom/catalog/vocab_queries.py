@@ -13,7 +13,10 @@ from spanloom.operators import vocab as vo
 from spanloom.session import scratch_path
 from spanloom.sources.corpus import Corpus
 
-IN_A = F.col("category") == "en"
+
+def in_a():
+    """Made on demand: a column needs a session, reading the list of queries does not."""
+    return F.col("category") == "en"
 
 
 def words_of(c: Corpus) -> DataFrame:
@@ -113,7 +116,7 @@ define("shares", """SELECT word, count(*) FILTER (category = 'en') / count(*) AS
 
 @query("o37_word_domain", "SELECT word, round(share_a, 6) AS share_a, round(share_b, 6) AS share_b FROM shares")
 def o37(c: Corpus) -> DataFrame:
-    return vo.domain_shares(words_of(c), IN_A).select("word", r6("share_a").alias("share_a"), r6("share_b").alias("share_b"))
+    return vo.domain_shares(words_of(c), in_a()).select("word", r6("share_a").alias("share_a"), r6("share_b").alias("share_b"))
 
 
 @query("o38_domain_fallback", """
@@ -121,8 +124,8 @@ def o37(c: Corpus) -> DataFrame:
         (SELECT round(count(*) FILTER (category = 'en') / count(*), 6) FROM sent) AS global_a,
         (SELECT round(count(*) FILTER (category <> 'en') / count(*), 6) FROM sent) AS global_b, count(*)::BIGINT AS n_sents FROM sent GROUP BY category""")
 def o38(c: Corpus) -> DataFrame:
-    a, b = vo.sentence_share(IN_A)
-    whole = vo.global_share(c.sent, IN_A)
+    a, b = vo.sentence_share(in_a())
+    whole = vo.global_share(c.sent, in_a())
     return c.sent.groupBy("category").agg(F.count(F.lit(1)).alias("n_sents")).select(
         "category", a.alias("own_a"), b.alias("own_b"),
         r6(whole.select("share_a").scalar()).alias("global_a"), r6(whole.select("share_b").scalar()).alias("global_b"), "n_sents")
