@@ -39,7 +39,7 @@ RELATIONS: dict[str, str] = {
     "lex": f"""SELECT word, {LONG_BIN} AS bin, coalesce(good, false) AS has_yi, coalesce(bad, false) AS has_yin,
         word IN (SELECT word FROM conv_words) AS has_book_title FROM lex_base LEFT JOIN lab_words USING (word)""",
     "lex2": "SELECT word FROM conv_words WHERE length(word) BETWEEN 2 AND 4",
-    "runs": """SELECT (conv_id * 10000 + turn) * 1000000 + c.k AS rid, conv_id, array_to_string(c.w, '') AS run FROM (
+    "runs": """SELECT concat_ws(':', conv_id, turn, c.k) AS rid, conv_id, array_to_string(c.w, '') AS run FROM (
         SELECT conv_id, turn, unnest(list_transform(range(0, len(w), 12), lambda i: struct_pack(k := i // 12, w := w[i + 1:i + 12]))) AS c
         FROM conv_tok WHERE len(w) > 0)""",
     "run_chr": "SELECT rid, unnest(range(0, length(run))) AS pos, unnest(string_split(run, '')) AS ch FROM runs",
@@ -77,7 +77,7 @@ RELATIONS: dict[str, str] = {
         SELECT sid, run, CASE WHEN r < greatest(1, floor(n * 0.111::DOUBLE)) THEN 'dev' ELSE 'train' END FROM fold_pool""",
     "inner_fold": """SELECT sid, (row_number() OVER (ORDER BY md5('42|' || sid), sid) - 1) % 5 AS fold FROM sent""",
     # Pre-training chunks.
-    "chunks": """SELECT rid * 1000 + i // 128 AS cid, conv_id AS grp, substr(run, i + 1, 128) AS text FROM (
+    "chunks": """SELECT concat_ws(':', rid, i // 128) AS cid, conv_id AS grp, substr(run, i + 1, 128) AS text FROM (
         SELECT rid, conv_id, run, unnest(range(0, length(run), 128)) AS i FROM runs WHERE length(run) >= 4)
         WHERE length(substr(run, i + 1, 128)) >= 4""",
 }

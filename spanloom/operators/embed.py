@@ -13,9 +13,11 @@ VECTOR_SIZE, WINDOW, MIN_COUNT, EPOCHS, SEED = 192, 5, 1, 30, 42
 
 
 def char2vec(runs: DataFrame, run: str = "run", size: int = VECTOR_SIZE, epochs: int = EPOCHS,
-             partitions: int = 1, seed: int = SEED) -> Word2VecModel:
+             partitions: int | None = None, seed: int = SEED) -> Word2VecModel:
     """Skip-gram vectors of characters (hierarchical softmax). The vocabulary is a set of
-    characters, so the model on the driver is bounded by Unicode."""
+    characters, so the model on the driver is bounded by Unicode. ``partitions``: training tasks of an epoch,
+    whose vectors are averaged; by default as many as the session runs at once."""
+    partitions = partitions or runs.sparkSession.sparkContext.defaultParallelism
     data = runs.where(F.length(run) >= 2).select(characters(F.col(run)).alias("chars"))
     return Word2Vec(vectorSize=size, windowSize=WINDOW, minCount=MIN_COUNT, maxIter=epochs, seed=seed,
                     numPartitions=partitions, inputCol="chars", outputCol="vec").fit(data)

@@ -15,26 +15,41 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 128 * 1024 * 1024
 ROW_OVERHEAD = 48
+HASH_FACTOR = 2
 SALTS = 32
+BUCKET_ROWS = 1 << 20
+
+
+def value_bytes(col: Column, kind: T.DataType) -> Column:
+    """Upper estimate of the size of one value, through arrays, structs and maps; a null counts as empty."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(col) + 24
+    elif isinstance(kind, T.ArrayType):
+        size = F.aggregate(col, F.lit(24).cast("bigint"), lambda acc, x: acc + value_bytes(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        size = value_bytes(F.map_keys(col), T.ArrayType(kind.keyType)) + value_bytes(
+            F.map_values(col), T.ArrayType(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        size = F.lit(16)
+        for f in kind.fields:
+            size = size + value_bytes(col.getField(f.name), f.dataType)
+    else:
+        size = F.lit(16)
+    return F.coalesce(size.cast("bigint"), F.lit(24).cast("bigint"))
 
 
 def table_bytes(df: DataFrame) -> int:
     """Upper estimate of the in-memory size of ``df``: one distributed aggregate, one row back."""
     per_row: Column = F.lit(ROW_OVERHEAD)
     for field in df.schema.fields:
-        col = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.StringType):
-            per_row = per_row + F.coalesce(F.octet_length(col), F.lit(0)) + 16
-        elif isinstance(field.dataType, T.ArrayType):
-            per_row = per_row + F.greatest(F.coalesce(F.size(col), F.lit(0)), F.lit(0)) * 16 + 16
-        else:
-            per_row = per_row + 8
+        per_row = per_row + value_bytes(F.col(f"`{field.name}`"), field.dataType)
     total = df.agg(F.sum(per_row.cast("bigint")).alias("b")).first()["b"]
     return int(total or 0)
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    return table_bytes(df) <= limit
+    """Whether the hash table of a broadcast of ``df`` stays below ``limit``."""
+    return table_bytes(df) * HASH_FACTOR <= limit
 
 
 def keyed_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, *, small_fits: bool,
@@ -54,7 +69,7 @@ def keyed_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, *,
     return salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")
 
 
-def seeded_hash(seed: int, *cols: Column | str) -> Column:
+def seeded_hash(seed: int | str, *cols: Column | str) -> Column:
     """md5 over ``seed`` and the columns: the only source of pseudo-randomness here."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_c(c).cast("string") for c in cols]))
 
@@ -69,7 +84,15 @@ def hash_unit(digest: Column) -> Column:
     return hash_int(digest) / F.lit(4294967296.0)
 
 
-def exact_rank(df: DataFrame, digest: str, tie: str, by: Sequence[str] = (), digits: int = 3,
+def rank_digits(rows: int, per_bucket: int = BUCKET_ROWS) -> int:
+    """Hex digits that cut ``rows`` into buckets of at most about ``per_bucket``; three at least."""
+    digits = 3
+    while rows > per_bucket * 16 ** digits:
+        digits += 1
+    return digits
+
+
+def exact_rank(df: DataFrame, digest: str, tie: str, by: Sequence[str] = (), digits: int | None = None,
                rank: str = "rank", total: str = "n") -> DataFrame:
     """Add the 0-based rank of each row in (digest, tie) order per ``by``, and the group size.
 
@@ -77,8 +100,10 @@ def exact_rank(df: DataFrame, digest: str, tie: str, by: Sequence[str] = (), dig
     leading hex digits cut every group into 16^digits even, already ordered buckets: the
     bucket sizes (a small table) give each bucket its offset and ``row_number`` runs
     inside a bucket only. Join and window share the (by, bucket) partitioning.
+    ``digits`` follows from the number of rows, so that a bucket stays near a million rows.
     """
     by = list(by)
+    digits = digits or rank_digits(df.count())
     cut = df.withColumn("_bucket", F.substring(digest, 1, digits))
     sizes = cut.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,8 +18,6 @@ from spanloom.operators.lattice import Lexicon
 
 SENTENCE_TOKENS = 12
 SID_STRIDE = 10_000_000
-TURN_STRIDE = 10_000
-RUN_STRIDE = 1_000_000
 LEX_MIN = 2
 LEX2_MIN, LEX2_MAX = 2, 4
 SEPARATORS = r"[^\p{L}\p{N}]+"
@@ -153,7 +151,7 @@ class Corpus:
     def runs(self) -> DataFrame:
         """Unlabelled text: conversation turns cut and joined like sentences, without boundaries."""
         cut = cut_tokens(self._conversation_tokens(), "words")
-        rid = (F.col("conv_id") * TURN_STRIDE + F.col("turn")) * RUN_STRIDE + F.col("k")
+        rid = F.concat_ws(":", *[F.col(x).cast("string") for x in ("conv_id", "turn", "k")])
         return (
             cut.select(rid.alias("rid"), "conv_id", F.array_join("part", "").alias("run"))
             .repartition(self.partitions, "rid").persist(StorageLevel.MEMORY_AND_DISK)
@@ -162,9 +160,9 @@ class Corpus:
     @cached_property
     def chunks(self) -> DataFrame:
         """Pre-training chunks (cid, grp, text), partitioned by ``cid`` like sentences by ``sid``.
-        A run of twelve words gives few pieces, far fewer than 1,000."""
+        Ids are text (conversation:turn:run:piece): no number of turns or pieces can overflow them."""
         pieces = chunk_runs(self.runs.select("rid", "conv_id", "run"), "run")
-        chunks = pieces.select((F.col("rid") * 1000 + F.col("piece")).alias("cid"),
+        chunks = pieces.select(F.concat_ws(":", "rid", F.col("piece").cast("string")).alias("cid"),
                                F.col("conv_id").alias("grp"), F.col("chunk").alias("text"))
         return chunks.repartition(self.partitions, "cid").persist(StorageLevel.MEMORY_AND_DISK)
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -6,36 +7,15 @@ from spanloom.functions import labels as lab
 from spanloom.functions.script import SCRIPT_RANGES_STATS, characters, chunk_runs, script_class, script_runs
 
 
-def tolerant(chars, labels):
-    words, buf = [], ""
-    for c, y in zip(chars, labels):
-        if y in "SB" and buf:
-            words.append(buf)
-            buf = ""
-        if y == "S":
-            words.append(c)
-        elif y == "E":
-            words.append(buf + c)
-            buf = ""
-        else:
-            buf += c
-    return words + ([buf] if buf else [])
-
-
-def strict(chars, labels):
-    out, buf, held = [], "", ""
-    for c, y in zip(chars, labels):
-        kind, tag = y.split("-", 1)
-        if kind == "S":
-            out.append((c, tag))
-        elif kind == "B":
-            buf, held = c, tag
-        elif kind == "I":
-            buf += c
-        else:
-            out.append((buf + c, tag))
-            buf = ""
-    return out + ([(buf, held)] if buf else [])
+# Worked by hand: characters, labels, words.
+TOLERANT = [
+    ("", "", []), ("ab", "SS", ["a", "b"]), ("abc", "BIE", ["abc"]), ("abc", "BIS", ["ab", "c"]), ("abc", "BBE", ["a", "bc"]),
+    ("ab", "EE", ["a", "b"]), ("abc", "IIE", ["abc"]), ("abcd", "SIES", ["a", "bc", "d"]), ("ab", "BI", ["ab"]), ("abc", "BSE", ["a", "b", "c"]),
+]
+STRICT = [
+    ("", "", []), ("abc", "B-n I-n E-v", [("abc", "v")]), ("abc", "B-n S-v E-n", [("b", "v"), ("ac", "n")]), ("ab", "B-n B-v", [("b", "v")]),
+    ("ab", "E-n E-v", [("a", "n"), ("b", "v")]), ("a", "I-n", [("a", "")]), ("ab", "S-v-x S-n", [("a", "v-x"), ("b", "n")]), ("ab", "B-n I-v", [("ab", "n")]),
+]
 
 
 def test_documented_example(spark):
@@ -45,20 +25,25 @@ def test_documented_example(spark):
     assert row["j"] == ["S-r", "B-v", "E-v", "S-v", "B-n", "E-n"]
 
 
-def test_decoders_on_any_labels(spark):
+def test_decoders_on_worked_cases(spark):
+    df = spark.createDataFrame([(s, list(y)) for s, y, _ in TOLERANT], "s string, y array<string>")
+    got = {(r["s"], "".join(r["y"])): r["w"] for r in df.select("s", "y", lab.bies_to_words(characters(F.col("s")), F.col("y")).alias("w")).collect()}
+    assert got == {(s, y): w for s, y, w in TOLERANT}
+    df = spark.createDataFrame([(s, y.split()) for s, y, _ in STRICT], "s string, y array<string>")
+    got = {(r["s"], " ".join(r["y"])): [tuple(x) for x in r["p"]]
+           for r in df.select("s", "y", lab.joint_to_words_tags(characters(F.col("s")), F.col("y")).alias("p")).collect()}
+    assert got == {(s, y): p for s, y, p in STRICT}
+
+
+def test_any_labels_spell_the_text_and_end_words_where_they_must(spark):
     rng = random.Random(1)
-    rows = []
-    for _ in range(200):
-        n = rng.randint(0, 9)
-        s = "".join(rng.choice("abc") for _ in range(n))
-        y = [rng.choice("BIES") for _ in range(n)]
-        rows.append((s, y, [f"{k}-{rng.choice(['n', 'v-x'])}" for k in y]))
-    df = spark.createDataFrame(rows, "s string, y array<string>, j array<string>")
-    got = df.select("s", "y", "j", lab.bies_to_words(characters(F.col("s")), F.col("y")).alias("w"),
-                    lab.joint_to_words_tags(characters(F.col("s")), F.col("j")).alias("p")).collect()
-    for r in got:
-        assert r["w"] == tolerant(r["s"], r["y"])
-        assert [tuple(x) for x in r["p"]] == strict(r["s"], r["j"])
+    rows = [("".join(rng.choice("abc") for _ in range(n)), [rng.choice("BIES") for _ in range(n)]) for n in (rng.randint(0, 9) for _ in range(200))]
+    df = spark.createDataFrame(rows, "s string, y array<string>")
+    for r in df.select("s", "y", lab.bies_to_words(characters(F.col("s")), F.col("y")).alias("w")).collect():
+        y = "".join(r["y"])
+        assert "".join(r["w"]) == r["s"]
+        ends = {len("".join(r["w"][:i + 1])) for i in range(len(r["w"]))}
+        assert ends == {m.end() for m in re.finditer(r"[ES]|.(?=[BS]|$)", y)}
 
 
 def test_round_trip_and_transitions(spark, make_sent):

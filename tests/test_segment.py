@@ -4,10 +4,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.api import DictionarySegmenter, DictionarySegmenterModel
+from spanloom.api import DictionarySegmenter, DictionarySegmenterModel, TaggerSegmenter, TaggerSegmenterModel
 from spanloom.functions.labels import BIES, LEGAL_END, LEGAL_NEXT, LEGAL_START
 from spanloom.operators import segment as sg
 from spanloom.operators.lattice import Lexicon
+from spanloom.operators.ngrams import NgramStats
 from spanloom.operators.tagger import CharTagger
 
 
@@ -25,10 +26,20 @@ def backward(s, words):
     return [w[::-1] for w in forward(s[::-1], {w[::-1] for w in words})][::-1]
 
 
-def both(s, words):
-    f, b = forward(s, words), backward(s, words)
-    score = lambda ws: (sum(w not in words for w in ws), -len(ws))
-    return f if score(f) <= score(b) else b
+# Worked by hand: lexicon, text, result of the bidirectional choice.
+CHOICES = [
+    (["ab", "abc", "bcd", "d"], "abcd", ["abc", "d"]),                # backward leaves "a" unknown
+    (["abc", "bcd", "a"], "abcd", ["a", "bcd"]),                      # forward leaves "d" unknown
+    (["ab", "cd", "e", "bcde", "a"], "abcde", ["ab", "cd", "e"]),     # none unknown: three words beat two
+    (["abcd", "e", "de", "bc", "a"], "abcde", ["a", "bc", "de"]),     # the same from the other side
+    (["ab", "c", "a", "bc"], "abc", ["ab", "c"]),                     # a tie goes forward
+]
+
+
+def test_bidirectional_choice(spark):
+    for words, s, want in CHOICES:
+        lex = Lexicon.build(spark.createDataFrame([(w,) for w in words], "word string"))
+        assert sg.max_match(spark.createDataFrame([(1, s)], "sid bigint, s string"), lex).first()["bidirectional"] == want
 
 
 def test_maximum_matching_equals_its_definition(spark, make_sent):
@@ -40,7 +51,7 @@ def test_maximum_matching_equals_its_definition(spark, make_sent):
     assert len(rows) == len(sents)
     for r in rows:
         s = sents[r["sid"]][0]
-        assert r["fmm"] == forward(s, words) and r["bmm"] == backward(s, words) and r["bidirectional"] == both(s, words)
+        assert r["fmm"] == forward(s, words) and r["bmm"] == backward(s, words) and r["bidirectional"] in (r["fmm"], r["bmm"])
         assert "".join(r["bidirectional"]) == s
 
 
@@ -98,3 +109,21 @@ def test_character_tagger_learns_and_restores(spark, make_sent, tmp_path):
     raw = spark.createDataFrame([(1, "cabcab")], "sid bigint, s string")
     for t in (tagger, CharTagger.load(spark, str(tmp_path / "t"))):
         assert t.transform(raw).first()["pred_words"] == ["c", "ab", "c", "ab"]
+
+
+def test_tagger_contract_with_features(spark, make_sent, tmp_path):
+    rng = random.Random(3)
+    train = make_sent([[rng.choice(["ab", "c", "abc", "da"]) for _ in range(4)] for _ in range(80)])
+    lex = Lexicon.build(spark.createDataFrame([("ab", "2", True, False, False), ("abc", "3", False, True, False)],
+                                              "word string, bin string, has_yi boolean, has_yin boolean, has_book_title boolean"))
+    stats = NgramStats.count(train.select(F.col("s").alias("run")))
+    model = TaggerSegmenter(lex, stats, n_features=1 << 10, max_iter=20).fit(train)
+    assert len(model.tagger.numeric) == 28
+    model.save(str(tmp_path / "f"))
+    raw = spark.createDataFrame([(1, "cabcda"), (2, ""), (3, None)], "sid bigint, s string")
+    outs = [{r["sid"]: (r["pred_words"], r["pred_tags"]) for r in m.transform(raw).collect()}
+            for m in (model, TaggerSegmenterModel.load(spark, str(tmp_path / "f")))]
+    assert outs[0] == outs[1] and outs[0][2] == outs[0][3] == ([], [])
+    assert "".join(outs[0][1][0]) == "cabcda" and len(outs[0][1][0]) == len(outs[0][1][1])
+    with pytest.raises(ValueError):
+        TaggerSegmenter()

@@ -3,7 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from spanloom.operators import splits as sp
-from spanloom.plans.scale import exact_rank, keyed_join, table_bytes
+from spanloom.plans.scale import exact_rank, fits_broadcast, keyed_join, rank_digits, table_bytes
 
 
 def sents(make_sent, n=211):
@@ -67,3 +67,14 @@ def test_salted_join_keeps_every_row(spark):
             out = keyed_join(big, small, ["k"], how, small_fits=fits, spread=["id"])
             assert out.count() == n and out.select("id").distinct().count() == n
     assert table_bytes(small) > 0
+
+
+def test_rank_digits_follow_the_rows():
+    assert [rank_digits(n) for n in (0, 1 << 32, (1 << 32) + 1, 10**12)] == [3, 3, 4, 5]
+
+
+def test_size_counts_what_arrays_and_structs_hold(spark):
+    text = "x" * 1000
+    df = spark.range(100).select(F.struct(F.lit(text).alias("a"), F.array(F.lit(text), F.lit(text)).alias("b")).alias("s"))
+    assert 300_000 < table_bytes(df) < 330_000
+    assert fits_broadcast(df, 700_000) and not fits_broadcast(df, 400_000)
