@@ -1,4 +1,4 @@
-"""All registered queries of the inventory against DuckDB, and the coverage of the inventory."""
+"""Registered queries of the inventory against DuckDB, and the coverage of the inventory."""
 
 import os
 import re
@@ -9,6 +9,10 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 NAMES = sorted(name for name in entry.oracle_sql() if re.match(r"o\d+_", name))
+# All take some ten minutes; SPANLOOM_ALL_ORACLES=1 runs them, else these.
+SAMPLE = ["o13_token_recovery", "o24_joint_to_words", "o35_modal_tag", "o48_adjacency_entropy", "o53_occ_hit", "o59_dict_features",
+          "o69_stratified_kfold", "o77_bidirectional_match", "o80_char2vec", "o83_viterbi", "o89_category_metrics", "o94_token_ids",
+          "o96_mlm_mixed", "o99_negative_spans"]
 
 
 def test_every_inventory_row_has_a_query():
@@ -28,7 +32,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", NAMES if os.environ.get("SPANLOOM_ALL_ORACLES") else SAMPLE)
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     cols = sorted(df.columns)
