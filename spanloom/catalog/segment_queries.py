@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.api import DictionarySegmenter, DictionarySegmenterModel, TaggerSegmenter, with_predictions
+from spanloom.api import DictionarySegmenter, DictionarySegmenterModel, JointSegmenter, TaggerSegmenter, with_predictions
 from spanloom.catalog.registry import joined, query, r6
 from spanloom.catalog.relations import define
 from spanloom.catalog.split_queries import split_of
@@ -18,6 +18,7 @@ from spanloom.operators import embed
 from spanloom.operators import evaluate as ev
 from spanloom.operators import segment as sg
 from spanloom.operators import splits as sp
+from spanloom.operators.joint import illegal_joint
 from spanloom.operators.lattice import Lexicon
 from spanloom.operators.tagger import log_probabilities
 from spanloom.operators.vocab import modal_tag
@@ -328,6 +329,40 @@ def o89(c: Corpus) -> DataFrame:
     return rounded(ev.evaluate(pairs_of(c), train_words(c), category="category"), ("category",), ("n_sents",), ev.METRICS)
 
 
+# --- joint boundaries and tags ----------------------------------------------------------
+def joint_of(c: Corpus) -> DataFrame:
+    """(sid, labels, pred_words, pred_tags) of the test part by a joint tagger with all features, fitted as the one of ``o79``."""
+    if not hasattr(c, "_joint"):
+        model = JointSegmenter(c.lex, stats_of(c), n_features=TAGGER_WIDTH, max_iter=TAGGER_ITER, share=TAGGER_SHARE).fit(part(c, "train"))
+        c._joint = as_table(model.labels(part(c, "test")), "joint-labels")
+    return c._joint
+
+
+# As for o79: exact invariants of the decoding.
+@query("joint_tagger", """SELECT sid, s AS spelled, length(s)::BIGINT AS labels, 0::BIGINT AS illegal, true AS tagged
+    FROM sent JOIN (SELECT sid FROM splits WHERE split = 'test') USING (sid)""")
+def joint_tagger(c: Corpus) -> DataFrame:
+    return joint_of(c).select(
+        "sid", joined("pred_words", "").alias("spelled"), (F.size("pred_words") == F.size("pred_tags")).alias("tagged"),
+        F.size("labels").cast("bigint").alias("labels"), illegal_joint(F.col("labels")).cast("bigint").alias("illegal"))
+
+
+# The gold side is exact; of the fitted side, that every count and metric is within its bounds.
+@query("joint_experiment", """SELECT CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE coalesce(category, 'none') END AS category, count(*)::BIGINT AS num_gold,
+        count(DISTINCT sid)::BIGINT AS n_sents, count(*) FILTER (NOT iv)::BIGINT AS oov_total, true AS bounded
+    FROM (SELECT *, word IN (SELECT word FROM train_words) AS iv FROM tok JOIN splits USING (sid) WHERE split = 'test') GROUP BY GROUPING SETS ((category), ())""")
+def joint_experiment(c: Corpus) -> DataFrame:
+    """Scores of the joint tagger by category, POS-Acc with its own tags."""
+    scores = ev.evaluate(ev.pair_up(part(c, "test").select("sid", "category", "words", "tags"), joint_of(c)), train_words(c), category="category")
+    within = [F.col(f"`{m}`").between(0, 1) for m in ev.METRICS] + [
+        F.col("num_correct") <= F.least("num_gold", "num_pred"), F.col("num_tag_ok") <= F.col("num_correct"),
+        F.col("oov_correct") + F.col("iv_correct") == F.col("num_correct")]
+    bounded = within[0]
+    for x in within[1:]:
+        bounded &= x
+    return scores.select("category", "num_gold", "n_sents", "oov_total", bounded.alias("bounded"))
+
+
 # --- cross-validation ---------------------------------------------------------------------
 define("cv_tok", "SELECT t.*, fold AS run FROM tok t JOIN (SELECT sid, fold FROM folds) USING (sid)")
 define("cv_train", "SELECT t.*, run FROM tok t JOIN roles USING (sid) WHERE role = 'train'")

@@ -118,9 +118,10 @@ def tag_words(pred: DataFrame, modal: DataFrame, words: str, fits: bool) -> Data
     return joined.select("sid", "idx", "word", F.coalesce("tag", F.lit(UNSEEN_TAG)).alias("tag"))
 
 
-def transition_counts(sent: DataFrame, words: str = "words") -> DataFrame:
-    """(kind, a, b, cnt): start, inner and end transitions, formed inside the row."""
-    labels = sent.where(F.size(words) > 0).select(words_to_bies(F.col(words)).alias("y"))
+def transition_counts(sent: DataFrame, words: str = "words", labels: Column | None = None) -> DataFrame:
+    """(kind, a, b, cnt): start, inner and end transitions, formed inside the row; of ``labels`` if given."""
+    y = words_to_bies(F.col(words)) if labels is None else labels
+    labels = sent.where(F.size(words) > 0).select(y.alias("y"))
     n = F.size("y")
     inner = F.zip_with(F.slice("y", F.lit(1), n - 1), F.slice("y", F.lit(2), n - 1),
                        lambda a, b: F.struct(F.lit("next").alias("kind"), a.alias("a"), b.alias("b")))
