@@ -115,6 +115,22 @@ def test_partial_wrappers_agree_with_one(spark):
     assert wrapper.match_size(a, b) == 3  # root, div and p
 
 
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.example.org/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    return {r["page_id"]: r["text"] for r in wrapper.main_text(df.repartition(3)).collect()}
+
+
+def test_wrapper_decides_inside_articles_and_on_mixed_hosts(spark):
+    promo = "<article class=teaser><p>Buy our yearly book</p></article>"
+    bodies = [f"{promo}<article><h1>Title {i}</h1><p>Text {i} of it</p><div class=terms>Read the terms of use</div></article>" for i in range(8)]
+    bodies += [f"{promo}<div class=story><p>Story {i} is told here</p><p>and ends {i}</p></div>" for i in range(8, 16)]
+    got = texts_of(spark, [page(i, b) for i, b in enumerate(bodies)])
+    assert all(got[i] == f"Title {i}\nText {i} of it" for i in range(8))
+    assert all(got[i] == f"Story {i} is told here\nand ends {i}" for i in range(8, 16))
+    # copies of one page tell nothing about its template
+    assert texts_of(spark, ["<article><p>same</p></article>"] * 3) == dict.fromkeys(range(3), "same")
+
+
 def test_url_parts_and_rules(spark):
     cases = {"https://M.Example.NET/en/1?x#y": ("m.example.net", "/en/1", "example.net/en/", "allow"), "http://a.net": ("a.net", "", None, None),
              "http://a.net/": ("a.net", "/", "net/", "block"), "HTTP://x.example.com/de/": ("x.example.com", "/de/", "example.com/de/", "block"),
