@@ -131,6 +131,21 @@ def test_wrapper_decides_inside_articles_and_on_mixed_hosts(spark):
     assert texts_of(spark, ["<article><p>same</p></article>"] * 3) == dict.fromkeys(range(3), "same")
 
 
+def test_wrappers_have_no_bound_on_children_or_depth(spark):
+    many = "".join(f"<h2 class=k{chr(97 + k // 26)}{chr(97 + k % 26)}>Head</h2><p>Line</p>" for k in range(100))
+    pages = [f"<body>{many}<table><tr><td>Constant cell</td></tr></table><section><p>Varying {i} text</p></section></body>" for i in range(6)]
+    assert all(t == f"Varying {i} text" for i, t in texts_of(spark, pages).items())
+    deep = "<div>" * 100
+    pages = [f"<body>{deep}<p>Deep {i} text</p><ul><li>Deep template</ul></body>" for i in range(6)]
+    assert all(t == f"Deep {i} text" for i, t in texts_of(spark, pages).items())
+
+
+def test_numbered_ids_share_a_wrapper_node(spark):
+    pages = [f"<body><div class=x><p>a {i}</p></div><div id=post-{i} class=post><h2>Post {i}</h2><div class=terms>Terms apply</div></div></body>" for i in range(6)]
+    assert all("Terms" not in t and f"Post {i}" in t for i, t in texts_of(spark, pages).items())
+    assert wrapper.parse("<div id=post-12 class='post h9'></div>").items[0].label == "div post"
+
+
 def test_url_parts_and_rules(spark):
     cases = {"https://M.Example.NET/en/1?x#y": ("m.example.net", "/en/1", "example.net/en/", "allow"), "http://a.net": ("a.net", "", None, None),
              "http://a.net/": ("a.net", "/", "net/", "block"), "HTTP://x.example.com/de/": ("x.example.com", "/de/", "example.com/de/", "block"),
