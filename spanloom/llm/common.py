@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.plans.scale import fits_broadcast
 from spanloom.session import as_table
 
 #: Runs of ASCII white space.
@@ -18,6 +19,20 @@ def exact_id(df: DataFrame, name: str = "doc_id") -> DataFrame:
     return df.withColumn(name, F.col(name).cast("bigint"))
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number that is unique per row, and the name of that column."""
+    column = "_row"
+    while column in map(str.lower, docs.columns):
+        column = f"_{column}"
+    return as_table(docs.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
+def by_number(rows: DataFrame, numbers: DataFrame, column: str, how: str, name: str) -> DataFrame:
+    """Semi- or anti-join of ``rows`` with row numbers; these are written, and broadcast if they fit, so that texts stay where they are."""
+    numbers = as_table(numbers.select(column), name)
+    return rows.join(F.broadcast(numbers) if fits_broadcast(numbers) else numbers, column, how)
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b); nodes that are connected get one label, a node of theirs.
 

@@ -207,9 +207,3 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smallest = as_table(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-smallest")
     of_value = as_table(labelled.join(smallest, "label").select("fp", "component_id"), "simhash-components")
     return marked.join(of_value, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, that with the smallest id; ids must be unique, rows without one stay."""
-    dropped = simhash_groups(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
