@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import SPACES
+from spanloom.llm.common import SPACES, by_number, numbered
 from spanloom.session import as_table
 
 BITMAP_BITS = 32768
@@ -77,7 +77,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     keys = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_key(docs[text_col]).alias("sha"),
                        F.monotonically_increasing_id().alias("rid"))
-    keys = as_table(keys, "exact-keys")
+    return _grouped(as_table(keys, "exact-keys"), hashes).drop("rid")
+
+
+def _grouped(keys: DataFrame, hashes: int) -> DataFrame:
+    """The groups of written (doc_id, sha, rid), with rid."""
     marked = as_table(possibly_repeated(keys, filter_bits(keys.count()), hashes), "exact-marked")
     maybe = marked.where("maybe")
     groups = maybe.groupBy("sha").agg(
@@ -89,10 +93,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = marked.where("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"),
         F.col("sha").alias("text_sha256"), "rid")
-    return alone.unionAll(copies).drop("rid")
+    return alone.unionAll(copies)
 
 
-def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops; ids must be unique, rows without one stay."""
-    dropped = exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col))
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = 2) -> DataFrame:
+    """``docs`` without the rows that ``exact_groups`` drops: of equal texts one row stays, whatever the ids.
+
+    Rows are dropped by a number given once, so repeated rows, different texts of one id and null ids are safe.
+    """
+    rows, row = numbered(docs, "exact-rows")
+    keys = rows.select(rows[id_col].cast("bigint").alias("doc_id"), text_key(rows[text_col]).alias("sha"), rows[row].alias("rid"))
+    dropped = _grouped(as_table(keys, "exact-keys"), hashes).where("not kept").select(F.col("rid").alias(row))
+    return by_number(rows, dropped, row, "left_anti", "exact-dropped").select(*docs.columns)
