@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: thin, over whole tables, with production parameters."""
+"""The registered queries of the operators: thin, over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, chat, dedup, mix, pii, quality, simhash, topk, urls, wrapper
+from spanloom.llm import bpe, chat, dedup, mix, pii, quality, repair, simhash, topk, urls, wrapper
 from spanloom.llm.common import SPACES
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -65,6 +65,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +76,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_simhash, op3_chat, op4_bpe, op5_quality, op6_topk, op7_exact, op8_pii, op9_main_text, op10_urls, pipeline)}
+    f.__name__: f for f in (op1_mix, op2_simhash, op3_chat, op4_bpe, op5_quality, op6_topk, op7_exact, op8_pii, op9_main_text, op10_urls,
+                               op11_repair, pipeline)}
 
 _EXACT_SQL = f"""
 WITH k AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g')) AS text_sha256 FROM documents)
