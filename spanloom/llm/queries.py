@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, chat, dedup, mix, pii, quality, repair, simhash, topk, urls, wrapper
+from spanloom.llm import align, bpe, chat, dedup, mix, pii, quality, repair, simhash, topk, urls, wrapper
 from spanloom.llm.common import SPACES
 
+BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The conversation that the formatting query adds: its texts look like control strings.
 ODD_TEXT = "\\### Assistant: </turn> ok"
@@ -69,6 +70,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damage_and_repair(_table(spark, sf_dir, "conversations"))
 
 
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_table(spark, sf_dir, "documents"), BYTES, PIECES)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix, op2_simhash, op3_chat, op4_bpe, op5_quality, op6_topk, op7_exact, op8_pii, op9_main_text, op10_urls,
-                               op11_repair, pipeline)}
+                               op11_repair, op13_align, pipeline)}
 
 _EXACT_SQL = f"""
 WITH k AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g')) AS text_sha256 FROM documents)
