@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import align, bpe, chat, dedup, mix, pii, quality, repair, simhash, topk, urls, wrapper
+from spanloom.llm import align, bpe, chat, dedup, mix, pii, quality, repair, simhash, subspace, topk, urls, wrapper
 from spanloom.llm.common import SPACES
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -70,6 +70,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damage_and_repair(_table(spark, sf_dir, "conversations"))
 
 
+def op12_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.similar_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(_table(spark, sf_dir, "documents"), BYTES, PIECES)
 
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix, op2_simhash, op3_chat, op4_bpe, op5_quality, op6_topk, op7_exact, op8_pii, op9_main_text, op10_urls,
-                               op11_repair, op13_align, pipeline)}
+                               op11_repair, op12_similar, op13_align, pipeline)}
 
 _EXACT_SQL = f"""
 WITH k AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g')) AS text_sha256 FROM documents)
@@ -96,4 +100,19 @@ d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbour_id, bit_count(xor(q.cod
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INT AS rank FROM d)
 SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= 10"""
 
-ORACLES: dict[str, str] = {"op1_mix": mix.mix_sql(), "op6_topk": _TOPK_SQL, "op7_exact": _EXACT_SQL}
+_SIMILAR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+ok AS (
+  SELECT vec_id, label, list_transform(e, x -> x / list_max(list_transform(e, y -> abs(y)))) AS e FROM v
+  WHERE label IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, y -> abs(y))) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.93),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a), c AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(least(vec_id, low), vec_id) AS component_id,
+       coalesce(least(vec_id, low), vec_id) = vec_id AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"""
+
+ORACLES: dict[str, str] = {"op12_similar": _SIMILAR_SQL, "op1_mix": mix.mix_sql(), "op6_topk": _TOPK_SQL, "op7_exact": _EXACT_SQL}
