@@ -154,9 +154,12 @@ def fold_priors(counts: DataFrame, k: int = FOLDS) -> DataFrame:
                        F.sum("occ").over(Window.partitionBy("fold")).alias("n_occ"))
 
 
-def oof_dict_features(sent: DataFrame, lex: Lexicon, k: int = FOLDS, folds: DataFrame | None = None) -> DataFrame:
+def oof_dict_features(sent: DataFrame, lex: Lexicon, k: int = FOLDS, folds: DataFrame | None = None,
+                      only: DataFrame | None = None) -> DataFrame:
     """(sid, pos, 20 columns) where a sentence never sees counts from its own fold.
 
+    All sentences are counted; with ``only`` (sid), features are made of those sentences alone.
+
     Counts per word hold one number per fold; what the other folds saw is total minus own.
     The lexicon carries one value per fold, of which a match picks that of its sentence.
     """
@@ -174,7 +177,8 @@ def oof_dict_features(sent: DataFrame, lex: Lexicon, k: int = FOLDS, folds: Data
         return F.struct((occ > 0).alias("seen"), F.when(prior["n_occ"] > 0, value).otherwise(0.0).alias("value"))
 
     valued = known.select(*words.columns, F.array(*[at(i) for i in range(k)]).alias("by_fold"))
-    matches = lattice(dealt, lex.extended(valued), keep=("fold",), every_position=True)
+    wanted = dealt if only is None else dealt.join(only.select("sid"), "sid", "left_semi")
+    matches = lattice(wanted, lex.extended(valued), keep=("fold",), every_position=True)
     own = F.element_at("by_fold", F.col("fold") + 1)
     return _all_dict_columns(matches.withColumn("seen", own["seen"]).withColumn("value", own["value"]))
 
