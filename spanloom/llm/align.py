@@ -12,11 +12,13 @@ bitmap adds its pair's count to its documents, block by block. A pair's occurren
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ DENSE = 4096
 ENTRIES = 1 << 21
 #: Characters handed to a tokenizer in one call; a longer text is alone.
 CALL = 500_000
+#: Links of a group up to which its occurrences are multiplied out; beyond, its distinct ids.
+SMALL = 64
 
 DOCUMENT = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 INDEXED = ("block bigint, place int, doc_id string, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
@@ -47,37 +51,45 @@ def byte_level() -> dict[str, int]:
 
 
 class Tokens:
-    """What is needed of a tokenizer: ids of texts, and per id its bytes, their number and its decimal."""
+    """What is needed of a tokenizer: ids of texts, and per id its bytes, their number, and its decimal with a separator."""
 
-    def __init__(self, encode, pieces: list[bytes]):
+    def __init__(self, encode, pieces: list[bytes], last: str):
         self.encode, self.pieces = encode, pieces
         self.size = np.array([len(p) for p in pieces], np.int64)
-        self.decimal = [str(i) for i in range(len(pieces))]
+        # the second half of the table is for the last token of a group
+        self.decimal = np.array([f"{i}," for i in range(len(pieces))] + [f"{i}{last}" for i in range(len(pieces))], object)
 
 
 @lru_cache(1)  # a worker reads the vocabularies once
-def byte_tokens(json: str) -> Tokens:
-    """A byte-level BPE in the JSON format of the tokenizers library; texts get a space in front."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    from tokenizers import Tokenizer
+def byte_tokens(text: str, pattern: str) -> Tokens:
+    """A byte-level BPE from the JSON format of the tokenizers library, ``pattern`` being that of its byte-level splitter;
+    texts get a space in front.
 
-    t = Tokenizer.from_str(json)
-    t.encode_special_tokens = True
-    back, special = byte_level(), {i: s.content.encode() for i, s in t.get_added_tokens_decoder().items()}
-    names = {i: name for name, i in t.get_vocab(with_added_tokens=True).items()}
-    pieces = [special[i] if i in special else bytes(map(back.__getitem__, names.get(i, ""))) for i in range(max(names) + 1)]
-    return Tokens(lambda texts: [e.ids for e in t.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)], pieces)
+    Merges must stand in the order of their results' ids. Then ids are ranks, and the encoder of ordinary text
+    that works on ranks gives the same ids, several times as fast.
+    """
+    file = json.loads(text)
+    model, splitter, back = file["model"], file["pre_tokenizer"], byte_level()
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [model["vocab"][a + b] for a, b in merges]
+    if file["normalizer"] or splitter["type"] != "ByteLevel" or splitter["add_prefix_space"] or ids != sorted(ids):
+        raise ValueError("not a plain byte-level BPE")
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
+    ranks = {bytes(map(back.__getitem__, name)): i for name, i in model["vocab"].items() if name not in special}
+    pieces = [b""] * (max([*ranks.values(), *special.values()]) + 1)
+    for piece, i in ranks.items():
+        pieces[i] = piece
+    coder = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return Tokens(lambda texts: [coder.encode_ordinary(" " + t) for t in texts], pieces, "|")
 
 
 @lru_cache(1)
 def piece_tokens(model: bytes) -> Tokens:
     """A sentencepiece model, which puts the space in front itself."""
-    import sentencepiece
-
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
     pieces = [bytes([int(name[3:5], 16)]) if sp.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(names)]
-    return Tokens(lambda texts: sp.encode(texts, num_threads=1), pieces)
+    return Tokens(lambda texts: sp.encode(texts, num_threads=1), pieces, ";")
 
 
 def cut_groups(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +108,15 @@ def _in_groups(ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def pair_counts(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, most: int = ENTRIES):
     """Yields (pairs, links): distinct pairs a << 32 | b of one document in no more than about ``most`` at a time, each pair once.
 
-    Distinct ids of a group are multiplied with their numbers, so that long repeats cost no more than their ids.
+    Distinct ids of a long group are multiplied with their numbers, so that long repeats cost no more than their ids.
     """
+    n_a, n_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
+    each = n_a * n_b
+    if each.max() <= SMALL and each.sum() <= most:
+        w = np.repeat(n_b, n_a)  # tokens of b that each token of a is linked with
+        j = np.arange(each.sum()) + np.repeat(np.repeat(cuts_b - n_b, n_a) - (np.cumsum(w) - w), w)
+        yield np.unique(np.repeat(a, w) << 32 | b[j], return_counts=True)
+        return
     group_a, id_a, times_a = _in_groups(a, cuts_a)
     group_b, id_b, times_b = _in_groups(b, cuts_b)
     start_b = np.searchsorted(group_b, np.arange(len(cuts_b) + 1))
@@ -113,10 +132,7 @@ def pair_counts(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.nda
         w = width[own]
         i = np.repeat(own, w)
         j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + start_b[group_a[i]]
-        pair, links = id_a[i] << 32 | id_b[j], times_a[i] * times_b[j]
-        by = np.argsort(pair, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(pair[by]) > 0])
-        yield pair[by][first], np.add.reduceat(links[by], first)
+        yield _summed(id_a[i] << 32 | id_b[j], times_a[i] * times_b[j])
 
 
 class Index:
@@ -170,33 +186,53 @@ def members(bitmap: bytes) -> np.ndarray:
     return np.frombuffer(bitmap, "<u2")
 
 
+def _summed(pairs: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.argsort(pairs, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(pairs[by]) > 0])
+    return pairs[by][first], np.add.reduceat(links[by], first)
+
+
+class Aligner:
+    """Both tokenizers, and what a text gives with them."""
+
+    def __init__(self, one: Tokens, two: Tokens):
+        self.one, self.two = one, two
+
+    def document(self, text: str, a: list[int], b: list[int]):
+        """Numbers of tokens of each side, groups and links; hash of the groups; (pairs, links) in parts."""
+        want = b" " + text.encode()
+        if not text or b"".join(map(self.one.pieces.__getitem__, a)) != want or b"".join(map(self.two.pieces.__getitem__, b)) != want:
+            return (0, 0, 0, 0), "", ()
+        left, right = np.array(a, np.int64), np.array(b, np.int64)
+        cuts_a, cuts_b = cut_groups(self.one.size[left], self.two.size[right])
+        n_a, n_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
+        # tokens of both sides in the order of groups, each with its separator
+        written = np.empty(len(a) + len(b), object)
+        in_a, in_b = left.copy(), right.copy()
+        in_a[cuts_a - 1] += len(self.one.pieces)
+        in_b[cuts_b - 1] += len(self.two.pieces)
+        written[np.arange(len(a)) + np.repeat(cuts_b - n_b, n_a)] = self.one.decimal[in_a]
+        written[np.arange(len(b)) + np.repeat(cuts_a, n_b)] = self.two.decimal[in_b]
+        groups = "".join(written.tolist())[:-1]
+        return ((len(a), len(b), len(cuts_a), int(n_a @ n_b)), hashlib.sha256(groups.encode()).hexdigest(),
+                pair_counts(left, right, cuts_a, cuts_b))
+
+    def documents(self, texts: list[str]):
+        return map(self.document, texts, self.one.encode(texts), self.two.encode(texts))
+
+
 def _aligner(shared):
     def run(batches):
-        json, model = shared.value
-        one, two = byte_tokens(json), piece_tokens(model)
+        vocabulary, pattern, model = shared.value
+        aligner = Aligner(byte_tokens(vocabulary, pattern), piece_tokens(model))
         task, count, index = TaskContext.get().partitionId(), 0, Index()
-
-        def document(doc_id, text, a, b):
-            want = b" " + text.encode()
-            if not text or b"".join(map(one.pieces.__getitem__, a)) != want or b"".join(map(two.pieces.__getitem__, b)) != want:
-                return (doc_id, 0, 0, 0, 0, ""), ()
-            left, right = np.array(a, np.int64), np.array(b, np.int64)
-            cuts_a, cuts_b = cut_groups(one.size[left], two.size[right])
-            n_a, n_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
-            da, db = [one.decimal[i] for i in a], [two.decimal[i] for i in b]
-            ca, cb = [0, *cuts_a.tolist()], [0, *cuts_b.tolist()]
-            groups = ";".join(f"{','.join(da[p:q])}|{','.join(db[r:s])}" for p, q, r, s in zip(ca, ca[1:], cb, cb[1:]))
-            return ((doc_id, len(a), len(b), len(cuts_a), int(n_a @ n_b), hashlib.sha256(groups.encode()).hexdigest()),
-                    pair_counts(left, right, cuts_a, cuts_b))
-
         for batch in batches:
             ids = iter(batch["doc_id"])
             for texts in _chunks(batch["text"].fillna("").tolist(), CALL):
                 done = []
-                for text, a, b in zip(texts, one.encode(texts), two.encode(texts)):
+                for numbers, digest, parts in aligner.documents(texts):
                     block, place = task << 32 | count // BLOCK, count % BLOCK
-                    row, parts = document(next(ids), text, a, b)
-                    done.append((block, place, *row))
+                    done.append((block, place, next(ids), *numbers, digest))
                     for pairs, links in parts:
                         index.add(place, pairs, links)
                         if index.held >= ENTRIES:
@@ -244,7 +280,7 @@ def _score(batches):
         yield out()
 
 
-def index_documents(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def index_documents(docs: DataFrame, byte_path: str, pattern: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, postings), both written once.
 
     documents: block, place, doc_id, n_a, n_b, n_groups, n_links, groups_sha256. postings: a, b, block, plane, bitmap,
@@ -252,7 +288,7 @@ def index_documents(docs: DataFrame, byte_path: str, piece_path: str, id_col: st
     pass; the vocabulary files (fixed, some MB) are broadcast.
     """
     with open(byte_path, encoding="utf-8") as f, open(piece_path, "rb") as g:
-        shared = docs.sparkSession.sparkContext.broadcast((f.read(), g.read()))
+        shared = docs.sparkSession.sparkContext.broadcast((f.read(), pattern, g.read()))
     source = docs.select(docs[id_col].cast("bigint").cast("string").alias("doc_id"), docs[text_col].alias("text"))
     made = as_table(exact_id(source.mapInPandas(_aligner(shared), INDEXED)), "align-index")
     documents = made.where("place >= 0").select("block", "place", *DOCUMENT)
@@ -266,7 +302,7 @@ def pair_table(postings: DataFrame) -> DataFrame:
     return as_table(counts.join(top, "a").select("a", "b", "count", "links", (F.col("count") == F.col("top")).cast("int").alias("best")), "align-pairs")
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(docs: DataFrame, byte_path: str, pattern: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_a, n_b (tokens), n_groups, n_links, n_best, count_sum, groups_sha256.
 
     n_best counts the links whose pair has the highest document count of all pairs of its a, count_sum adds up the
@@ -274,7 +310,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
     tokens: zeros and an empty hash. Null ids are kept; repeated rows are documents of their own, in the counts too;
     further columns are ignored; texts of any length are used whole; an empty table gives an empty one.
     """
-    documents, postings = index_documents(docs, byte_path, piece_path, id_col, text_col)
+    documents, postings = index_documents(docs, byte_path, pattern, piece_path, id_col, text_col)
     pairs = pair_table(postings).drop("links")
     scored = (postings.select("a", "b", "block", "plane", "bitmap").join(F.broadcast(pairs) if fits_broadcast(pairs) else pairs, ["a", "b"])
               .select("block", "plane", "bitmap", "count", "best").repartition("block").sortWithinPartitions("block")

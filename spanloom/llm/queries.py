@@ -75,7 +75,7 @@ def op12_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.align(_table(spark, sf_dir, "documents"), BYTES, PIECES)
+    return align.align(_table(spark, sf_dir, "documents"), BYTES, public_tokenizers.PATTERN, PIECES)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 from spanloom.llm import align, queries
 
 SCHEMA = "doc_id bigint, text string"
+PATTERN = public_tokenizers.PATTERN
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -87,18 +88,21 @@ def test_alignment_equals_counting_pair_by_pair(spark, monkeypatch):
     want, count, total = slow_align(texts)
     ids = [2**60 + 1 if i == 5 else None if i == 6 else i // 2 for i in range(len(texts))]
     df = spark.createDataFrame(list(zip(ids, texts)), SCHEMA).withColumn("a", F.lit("clash")).withColumn("block", F.lit("clash")).repartition(3)
-    assert result(align.align(df, BYTES, PIECES)) == sorted((-1 if i is None else i, *w) for i, w in zip(ids, want))
-    assert align.align(df.limit(0), BYTES, PIECES).count() == 0
-    pairs = {(r["a"], r["b"]): (r["count"], r["links"]) for r in align.pair_table(align.index_documents(df, BYTES, PIECES)[1]).collect()}
+    assert result(align.align(df, BYTES, PATTERN, PIECES)) == sorted((-1 if i is None else i, *w) for i, w in zip(ids, want))
+    assert align.align(df.limit(0), BYTES, PATTERN, PIECES).count() == 0
+    pairs = {(r["a"], r["b"]): (r["count"], r["links"]) for r in align.pair_table(align.index_documents(df, BYTES, PATTERN, PIECES)[1]).collect()}
     assert pairs == {p: (count[p], total[p]) for p in count}
 
 
-def test_blocks_and_parts_do_not_change_results(spark):
-    one, two = align.byte_tokens(open(BYTES, encoding="utf-8").read()), align.piece_tokens(open(PIECES, "rb").read())
+def test_parts_do_not_change_results(monkeypatch):
+    one, two = align.byte_tokens(open(BYTES, encoding="utf-8").read(), PATTERN), align.piece_tokens(open(PIECES, "rb").read())
     for text in ("中" * 400 + "the end of it all. " * 50, "xyzzy" * 300):
         a, b = (np.array(t.encode([text])[0], np.int64) for t in (one, two))
         cuts = align.cut_groups(one.size[a], two.size[b])
         whole = [np.concatenate(x) for x in zip(*align.pair_counts(a, b, *cuts))]
+        with monkeypatch.context() as m:
+            m.setattr(align, "SMALL", 0)
+            assert all(np.array_equal(x, y) for x, y in zip(whole, [np.concatenate(x) for x in zip(*align.pair_counts(a, b, *cuts))]))
         parts = [np.concatenate(x) for x in zip(*align.pair_counts(a, b, *cuts, most=7))]
         for x, y in zip(whole, parts):
             assert np.array_equal(x[np.argsort(whole[0])], y[np.argsort(parts[0])])
