@@ -100,19 +100,68 @@ def test_main_text(spark):
     assert wrapper.main_text(df.limit(0)).count() == 0
 
 
-def test_partial_wrappers_agree_with_one(spark):
-    pages = [wrapper.wrapper_of(wrapper.parse(page(i, f"<article><p>x{i}</p>" + "<p>y</p>" * (i % 3) + "</article>"))) for i in range(9)]
-    one = pages[0]
-    for w in pages[1:]:
-        one = wrapper.merge(one, w)
-    left, right = pages[0], pages[5]
-    for w in pages[1:5]:
-        left = wrapper.merge(left, w)
-    for w in pages[6:]:
-        right = wrapper.merge(right, w)
-    assert wrapper.merge(left, right) == one and one[1] == 9
-    a, b = wrapper.wrapper_of(wrapper.parse("<div><p>1</p><ul></ul></div>")), wrapper.wrapper_of(wrapper.parse("<div><table></table><p>2</p></div>"))
-    assert wrapper.match_size(a, b) == 3  # root, div and p
+def slow_matching(a, b):
+    """Simple tree matching by its definition, without memory or short cuts."""
+    if a.label != b.label:
+        return 0
+    table = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids):
+        for j, y in enumerate(b.kids):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + slow_matching(x, y))
+    return 1 + table[-1][-1]
+
+
+def random_tree(rng, depth=0):
+    return wrapper.Part(rng.choice("pq"), rng.randrange(3)), [random_tree(rng, depth + 1) for _ in range(rng.randrange(4 if depth < 3 else 1))]
+
+
+def planted(tree):
+    part, kids = tree
+    part.kids = [planted(k) for k in kids]
+    return part
+
+
+def test_tree_matching_equals_its_definition(monkeypatch):
+    rng = random.Random(2)
+    for trial in range(400):
+        a, b = planted(random_tree(rng)).measure(), planted(random_tree(rng)).measure()
+        b.label = a.label
+        a.measure(), b.measure()
+        assert wrapper.matching(a, b, {}) == slow_matching(a, b)
+        pairs = list(wrapper.matched(a, b))
+        assert len(pairs) == slow_matching(a, b) and all(x.label == y.label for x, y in pairs)
+        if trial % 4 == 0:
+            with monkeypatch.context() as m:
+                m.setattr(wrapper, "TABLE", 0)
+                assert len(list(wrapper.matched(a, b))) <= slow_matching(a, b)
+        size = a.size + b.size - len(pairs)
+        assert wrapper.merge(b, a).size == size
+
+
+def test_a_wrapper_knows_constant_nodes_and_slots():
+    pages = [f"<div><p>same</p>{'<ul><li>more</ul>' if i % 2 else ''}<p>text {i}</p><table><tr><td>cell</table></div>" for i in range(6)]
+    root, _ = wrapper.loaded(wrapper.induced(pages))
+    div = root.kids[0]
+    assert [(k.label, k.support, k.text is None) for k in div.kids] == [("p", 6, False), ("ul", 3, False), ("p", 6, True), ("table", 6, False)]
+
+
+def test_article_text_is_never_lost(spark):
+    """Versions of one article, like titles, and names that only look like those of menus."""
+    two = ["<article><h1>Pump</h1><p>First part.</p><ul><li>a<li>b</ul><p>Cost: 3 m.</p></article>", "<article><h1>Pump</h1><p>First part.</p><ul><li>a<li>b</ul><p>Cost: 4 m.</p></article>"]
+    got = texts_of(spark, two + [two[0].replace("3 m", f"{i} m") for i in range(5, 9)])
+    assert got[0] == "Pump\nFirst part.\na\nb\nCost: 3 m." and got[1].startswith("Pump\nFirst part.")
+    weekly = [f"<body><nav>n</nav><div class=story><h1>Weekly report</h1><h2>Summary</h2><p>Numbers of week {i} are so and so</p></div></body>" for i in range(6)]
+    assert all(t == f"Weekly report\nSummary\nNumbers of week {i} are so and so" for i, t in texts_of(spark, weekly).items())
+    odd = "<article><h1>T</h1><section class=\"legal analysis\"><p>Law.</p></section><p id=search>Search it.</p><div class=\"side effects\">Pain.</div><header>Sub</header>"
+    odd += "<div class=ad>Buy</div><div class='comment-list'><p>Nice!</p></div><span class=ad>x</span></article>"
+    assert texts_of(spark, [odd]) == {0: "T\nLaw.\nSearch it.\nPain.\nSub"}
+
+
+def test_the_wrapper_finds_content_without_articles(spark):
+    pages = [f"<body><div class=lead>Welcome to our site, the best of all sites in the whole wide world</div><div class=a><div class=b><p>Body {i} one two</p><p>End {i}</p>"
+             f"</div></div><div class=c>Read more of us here, every single day of the year</div></body>" for i in range(7)]
+    assert all(t == f"Body {i} one two\nEnd {i}" for i, t in texts_of(spark, pages).items())
+    assert "Welcome" in texts_of(spark, pages[:2])[0]  # two pages are too few to tell
 
 
 def texts_of(spark, pages):
@@ -123,7 +172,7 @@ def texts_of(spark, pages):
 def test_wrapper_decides_inside_articles_and_on_mixed_hosts(spark):
     promo = "<article class=teaser><p>Buy our yearly book</p></article>"
     bodies = [f"{promo}<article><h1>Title {i}</h1><p>Text {i} of it</p><div class=terms>Read the terms of use</div></article>" for i in range(8)]
-    bodies += [f"{promo}<div class=story><p>Story {i} is told here</p><p>and ends {i}</p></div>" for i in range(8, 16)]
+    bodies += [f"{promo}<div class=story><p>Story {i} is told here</p><p>and ends {i}</p></div><div class=terms>Read the terms of use</div>" for i in range(8, 16)]
     got = texts_of(spark, [page(i, b) for i, b in enumerate(bodies)])
     assert all(got[i] == f"Title {i}\nText {i} of it" for i in range(8))
     assert all(got[i] == f"Story {i} is told here\nand ends {i}" for i in range(8, 16))
