@@ -23,6 +23,7 @@ from spanloom.operators.lattice import Lexicon
 from spanloom.operators.tagger import log_probabilities
 from spanloom.operators.vocab import modal_tag
 from spanloom.plans import experiment as ex
+from spanloom.plans import tagger_grid as tg
 from spanloom.plans.scale import fits_broadcast
 from spanloom.session import as_table, scratch_path
 from spanloom.sources import sinks
@@ -153,9 +154,8 @@ def o78(c: Corpus) -> DataFrame:
     return tagged(c).select("sid", tokens("pred_words", "pred_tags").alias("tokens"))
 
 
-# The tagger of the query learns from a fifth of the labelled sentences in 20 iterations (the class default is 200, at 1.3 s
-# each on the test machine); scoring reads all of the test part.
-TAGGER_SHARE, TAGGER_WIDTH, TAGGER_ITER = 0.2, 1 << 16, 20
+# The taggers of the queries learn from so many labelled sentences at most, in 200 iterations; counts and scoring read everything.
+TAGGER_ROWS, GRID_ROWS = 5000, 1000
 
 
 # A fitted model has no SQL form, but its decoding has exact invariants: one row per sentence, words that spell it, legal labels.
@@ -163,7 +163,7 @@ TAGGER_SHARE, TAGGER_WIDTH, TAGGER_ITER = 0.2, 1 << 16, 20
     FROM sent JOIN (SELECT sid FROM splits WHERE split = 'test') USING (sid)""")
 def o79(c: Corpus) -> DataFrame:
     """Fit on the training part with all features, decode the test part."""
-    model = TaggerSegmenter(c.lex, stats_of(c), n_features=TAGGER_WIDTH, max_iter=TAGGER_ITER, share=TAGGER_SHARE).fit(part(c, "train"))
+    model = TaggerSegmenter(c.lex, stats_of(c), max_rows=TAGGER_ROWS).fit(part(c, "train"))
     test = part(c, "test")
     labels = as_table(model.labels(test), "tagger-labels")
     out = with_predictions(labels.select("sid", "labels"), labels.select("sid", "pred_words"), model.tags, model.tags_fit)
@@ -333,7 +333,7 @@ def o89(c: Corpus) -> DataFrame:
 def joint_of(c: Corpus) -> DataFrame:
     """(sid, labels, pred_words, pred_tags) of the test part by a joint tagger with all features, fitted as the one of ``o79``."""
     if not hasattr(c, "_joint"):
-        model = JointSegmenter(c.lex, stats_of(c), n_features=TAGGER_WIDTH, max_iter=TAGGER_ITER, share=TAGGER_SHARE).fit(part(c, "train"))
+        model = JointSegmenter(c.lex, stats_of(c), max_rows=TAGGER_ROWS).fit(part(c, "train"))
         c._joint = as_table(model.labels(part(c, "test")), "joint-labels")
     return c._joint
 
@@ -383,17 +383,36 @@ define("cv_gold", """SELECT m.method, t.sid, t.run, t.category, p.sid IS NOT NUL
     LEFT JOIN cv_vocab v ON v.run = t.run AND v.word = t.word LEFT JOIN cv_modal md ON md.run = t.run AND md.word = t.word""")
 define("cv_sums", f"""SELECT g.*, p FROM (SELECT method, run, CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE coalesce(category, 'none') END AS category, {COUNTS} FROM cv_gold GROUP BY GROUPING SETS ((method, run, category), (method, run))) g
     JOIN (SELECT method, run, CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE coalesce(category, 'none') END AS category, count(*) AS p FROM cv_pred GROUP BY GROUPING SETS ((method, run, category), (method, run))) USING (method, run, category)""")
+# The tagger levels are fitted, so SQL knows their rows, counts and OOV%; their other metrics count as -1 where they are within 0 and 1.
+define("cv_levels", "SELECT unnest({}) AS method, unnest({}) AS config".format(*[list(x) for x in zip(*[(n, f"dict {d}/gap {g}") for n, (d, g) in tg.LEVELS.items()])]))
 define("cv_long", " UNION ALL ".join(
-    f"SELECT method, category, run AS fold, '{n}' AS metric, {e} AS value, n FROM cv_sums" for n, e in METRIC_SQL.items()))
+    [f"SELECT method, category, run AS fold, '{n}' AS metric, {e} AS value, n FROM cv_sums" for n, e in METRIC_SQL.items()]
+    + [f"SELECT l.method, category, run, '{n}', {e if n == 'OOV%' else '-1.0::DOUBLE'}, n FROM cv_sums CROSS JOIN cv_levels l WHERE cv_sums.method = 'fmm_corpus'"
+       for n, e in METRIC_SQL.items()]))
 
 
-def cv_of(c: Corpus) -> DataFrame:
-    """Scores of the whole grid: methods x folds x categories rows, kept for the report queries."""
+def scores_of(c: Corpus) -> DataFrame:
+    """Scores of the whole grid, tagger levels included: methods x folds x categories rows, kept for the report queries."""
     if not hasattr(c, "_cv"):
-        c._cv = ex.cv_scores(sp.with_fold_roles(c.sent), c.lex.words)
+        roles = sp.with_fold_roles(c.sent)
+        c._cv = ex.cv_scores(roles, c.lex.words, taggers=tg.tagger_counts(roles, c.lex, stats_of(c), max_rows=GRID_ROWS))
     return c._cv
 
 
+def cv_of(c: Corpus) -> DataFrame:
+    """The scores as SQL can know them: a fitted metric within its bounds is -1."""
+    fitted = F.col("method").isin(*tg.LEVELS)
+    return scores_of(c).withColumns({m: F.when(fitted & F.col(f"`{m}`").between(0, 1), -1.0).otherwise(F.col(f"`{m}`"))
+                                     for m in ev.METRICS if m != "OOV%"})
+
+
+@query("crf_grid")
+def crf_grid(c: Corpus) -> DataFrame:
+    """Fitted scores of the tagger levels by fold and category; no SQL can know them."""
+    keys, counts = ("method", "fold", "category"), ("n_sents", "num_gold", "num_pred", "num_correct", "oov_total", "oov_correct")
+    return rounded(scores_of(c).where(F.col("method").isin(*tg.LEVELS)), keys, counts, ev.METRICS)
+
+
 def overall(c: Corpus) -> DataFrame:
     return cv_of(c).where(F.col("category") == ev.ALL)
 
@@ -434,13 +453,18 @@ def o92(c: Corpus) -> DataFrame:
     SELECT method, category, fold::INT AS fold, metric, round(value, 6) AS value FROM cv_long
     UNION ALL SELECT 'hmm', 'unknown method', -1, '', NULL""")
 def o93(c: Corpus) -> DataFrame:
-    names = ex.method_table(c.spark, [*ex.METHODS, "hmm"])
+    names = ex.method_table(c.spark, [*ex.ALL_METHODS, "hmm"])
     unknown = names.where(~F.col("known")).select(
         "method", F.lit("unknown method").alias("category"), F.lit(-1).alias("fold"), F.lit("").alias("metric"), F.lit(None).cast("double").alias("value"))
     return ex.grid(cv_of(c)).select("method", "category", "fold", "metric", r6("value").alias("value")).unionByName(unknown)
 
 
-FOLDS_SQL = f"SELECT method, run::INT AS fold, category, {metrics_sql(*METRIC_SQL)} FROM cv_sums"
+def level_metrics_sql(digits: int) -> str:
+    return ", ".join(f'round({e}, {digits}) AS "{n}"' if n == "OOV%" else f'-1.0::DOUBLE AS "{n}"' for n, e in METRIC_SQL.items())
+
+
+FOLDS_SQL = f"""SELECT method, run::INT AS fold, category, {metrics_sql(*METRIC_SQL)} FROM cv_sums
+    UNION ALL SELECT l.method, run::INT, category, {level_metrics_sql(6)} FROM cv_sums CROSS JOIN cv_levels l WHERE cv_sums.method = 'fmm_corpus'"""
 
 
 @query("o06_results_sink", FOLDS_SQL)
@@ -453,11 +477,14 @@ def o06(c: Corpus) -> DataFrame:
 
 
 @query("o07_run_log", "SELECT m.method, 'documents/' || run AS corpus, 1::BIGINT AS runs, mode || '/' || src AS config, " + ", ".join(
-    f'round({e}, 4) AS "{n}"' for n, e in METRIC_SQL.items()) + " FROM cv_sums JOIN cv_methods m USING (method) WHERE category = 'ALL'")
+    f'round({e}, 4) AS "{n}"' for n, e in METRIC_SQL.items()) + f""" FROM cv_sums JOIN cv_methods m USING (method) WHERE category = 'ALL'
+    UNION ALL SELECT l.method, 'documents/' || run, 1::BIGINT, config, {level_metrics_sql(4)} FROM cv_sums CROSS JOIN cv_levels l
+    WHERE cv_sums.method = 'fmm_corpus' AND category = 'ALL'""")
 def o07(c: Corpus) -> DataFrame:
     """Every fold is appended as a run; the log is read back and unpacked per method."""
     path = scratch_path(c.spark, "run-log")
-    config = c.spark.createDataFrame([(n, f"{m}/{s}") for n, (m, s) in ex.METHODS.items()], "method string, config string")
+    settings = [(n, f"{m}/{s}") for n, (m, s) in ex.METHODS.items()] + [(n, f"dict {d}/gap {g}") for n, (d, g) in tg.LEVELS.items()]
+    config = c.spark.createDataFrame(settings, "method string, config string")
     for fold in range(ex.FOLDS):
         record = sinks.run_record(overall(c).where(F.col("fold") == fold), f"documents/{fold}", config, None, 1.234)
         sinks.append_run_log(record, path)

@@ -171,22 +171,24 @@ def pseudo_gradient(theta: np.ndarray, gradient: np.ndarray, c1: float) -> np.nd
     return np.where(theta != 0, gradient + c1 * np.sign(theta), at_zero)
 
 
-def minimise(evaluate: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], mask: np.ndarray, c1: float = C1, c2: float = C2,
-             max_iter: int = MAX_ITER) -> np.ndarray:
+def minimise(evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], mask: np.ndarray, c1: float = C1,
+             c2: float = C2, max_iter: int = MAX_ITER) -> np.ndarray:
     """Minimise loss + c1 |theta| + c2 theta^2 for all models at once; weights outside ``mask`` stay zero.
 
-    ``evaluate(theta)`` gives losses (runs, levels) and gradients. Orthant-wise limited-memory quasi-Newton: two-loop
+    ``evaluate(theta, wanted)`` gives losses (runs, levels) and gradients of the wanted models. Orthant-wise limited-memory quasi-Newton: two-loop
     recursion on the pseudo-gradient, steps projected onto the orthant of their start, halved until they gain
     enough. A model that gains less than DELTA in PERIOD steps rests while others go on.
     """
     theta = np.zeros(mask.shape)
 
-    def objective(t):
-        loss, g = evaluate(t)
+    going = np.ones((mask.shape[0], mask.shape[2]), bool)
+
+    def objective(t, wanted):
+        loss, g = evaluate(t, wanted)
         return loss + c2 * _dot(t, t) + c1 * np.einsum("rfly->rl", np.abs(t)), (g + 2 * c2 * t) * mask
 
-    value, gradient = objective(theta)
-    going, past, steps = np.ones(value.shape, bool), [value], []
+    value, gradient = objective(theta, going)
+    past, steps = [value], []
     for _ in range(max_iter):
         slope = pseudo_gradient(theta, gradient, c1) * mask
         norm = np.sqrt(_dot(slope, slope))
@@ -212,7 +214,8 @@ def minimise(evaluate: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], ma
         for _ in range(20):
             trial = theta + _spread(length) * direction
             new = np.where(_spread(open_), np.where(trial * orthant > 0, trial, 0.0), new)
-            new_value, new_gradient = objective(new)
+            tried_value, tried_gradient = objective(new, open_)
+            new_value, new_gradient = np.where(open_, tried_value, new_value), np.where(_spread(open_), tried_gradient, new_gradient)
             open_ &= ~(new_value <= value + 1e-4 * _dot(slope, new - theta))
             if not open_.any():
                 break
@@ -261,7 +264,7 @@ def training_table(sent: DataFrame, singles: DataFrame, y: Column, extra: DataFr
     ``sid`` is unique per row; a sentence that several runs learn from comes once for each, with ids of their own.
     """
     labelled = sent.where(F.length("s") > 0)
-    rows = named_features(window_features(labelled, singles))
+    rows = named_features(window_features(labelled, singles, by_run="in_run" in singles.columns))
     index = feature_index(rows, min_count)
     found = rows.join(F.broadcast(index) if fits_broadcast(index) else index, "feature", "left")
     ids = found.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct(
@@ -283,13 +286,16 @@ def evaluator(rows: DataFrame, runs: int, numeric: int):
     """A function of all weights to losses and gradients: one job over the training table."""
     sc = rows.sparkSession.sparkContext
 
-    def evaluate(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shared = sc.broadcast(theta)
+    def evaluate(theta: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        which = {r: np.flatnonzero(w) for r, w in enumerate(wanted) if w.any()}
+        shared = sc.broadcast({r: np.ascontiguousarray(theta[r][:, levels]) for r, levels in which.items()})
 
         def run(batches):
             sums = {}
             for batch in batches:
                 for number, part in batch.groupby("run"):
+                    if number not in shared.value:
+                        continue
                     loss, gradient = loss_and_gradient(shared.value[number], *_arrays(part, numeric))
                     if number in sums:
                         loss, gradient = sums[number][0] + loss, sums[number][1] + gradient
@@ -298,8 +304,9 @@ def evaluator(rows: DataFrame, runs: int, numeric: int):
 
         losses, gradients = np.zeros((runs, theta.shape[2])), np.zeros(theta.shape)
         for part in rows.mapInPandas(run, "run int, loss binary, gradient binary").collect():  # a row per run and partition
-            losses[part["run"]] += np.frombuffer(part["loss"])
-            gradients[part["run"]] += np.frombuffer(part["gradient"]).reshape(theta.shape[1:])
+            r = part["run"]
+            losses[r, which[r]] += np.frombuffer(part["loss"])
+            gradients[r][:, which[r]] += np.frombuffer(part["gradient"]).reshape(theta.shape[1], -1, theta.shape[3])
         shared.destroy()
         return losses, gradients
 
@@ -359,10 +366,7 @@ def emissions(sent: DataFrame, singles: DataFrame, extra: DataFrame | None, nume
               by_run: bool = False) -> DataFrame:
     """(sid, e): per character ``width`` scores, one after another, by a join of its features with the weights and a sum."""
     keep = ["run"] if by_run else []
-    window = window_features(sent, singles)
-    if by_run:
-        window = window.join(sent.select("sid", "run"), "sid")
-    rows = named_features(window, keep).select("sid", "pos", *keep, "feature", F.lit(1.0).alias("value"))
+    rows = named_features(window_features(sent, singles, by_run=by_run), keep).select("sid", "pos", *keep, "feature", F.lit(1.0).alias("value"))
     if extra is not None:
         if by_run:
             extra = extra.join(sent.select("sid", "run"), "sid")

@@ -124,10 +124,11 @@ def dict_features(sent: DataFrame, lex: Lexicon, counts: DataFrame | None) -> Da
         seen = F.coalesce(F.col("occ") > 0, F.lit(False))
         value = F.when(seen, smoothed(F.col("hit"), F.col("occ"), F.col("p_g"))).otherwise(F.coalesce("p_g", F.lit(0.5)))
         valued = known.select(*words.columns, seen.alias("seen"), F.when(any_seen, value).otherwise(0.0).alias("value"))
-    return _all_dict_columns(lattice(sent, lex.extended(valued), every_position=True))
+    return all_dict_columns(lattice(sent, lex.extended(valued), every_position=True))
 
 
-def _all_dict_columns(valued: DataFrame) -> DataFrame:
+def all_dict_columns(valued: DataFrame) -> DataFrame:
+    """(sid, pos, 20 columns) from matches at every position that carry ``seen`` and ``value``."""
     rows = covered(valued, ("bin", "found", "seen", "value", *META_FEATURES))
     found = F.coalesce("found", F.lit(False))
     both = rows.groupBy("sid", "pos").agg(_mask(found, _bie_bits().bitwiseOR(_meta_bits())), *_rel_columns(found))
@@ -180,7 +181,7 @@ def oof_dict_features(sent: DataFrame, lex: Lexicon, k: int = FOLDS, folds: Data
     wanted = dealt if only is None else dealt.join(only.select("sid"), "sid", "left_semi")
     matches = lattice(wanted, lex.extended(valued), keep=("fold",), every_position=True)
     own = F.element_at("by_fold", F.col("fold") + 1)
-    return _all_dict_columns(matches.withColumn("seen", own["seen"]).withColumn("value", own["value"]))
+    return all_dict_columns(matches.withColumn("seen", own["seen"]).withColumn("value", own["value"]))
 
 
 def word_folds(tok: DataFrame, k: int = FOLDS) -> DataFrame:
@@ -269,31 +270,35 @@ OUTSIDE = {-1: "<BOS>", 1: "<EOS>", -2: "<BOS2>", 2: "<EOS2>"}
 WINDOW_FEATURES = ("c0", "c-1", "c+1", "c-2", "c+2", "c-1_c0", "c0_c+1", "is_digit", "is_alpha", "is_punct", "in_dict")
 
 
-def window_features(sent: DataFrame, single_words: DataFrame, label: Column | None = None) -> DataFrame:
+def window_features(sent: DataFrame, single_words: DataFrame, label: Column | None = None, by_run: bool = False) -> DataFrame:
     """(sid, pos, 11 string columns): characters -2..+2, two bigrams, character kind, and
     whether the character is itself a training word. Neighbours are read inside the row.
 
     ``single_words(ch)`` holds one-character words: bounded by Unicode, hence broadcast.
-    ``label``, an array with one entry per character, is added as column ``y``.
+    ``label``, an array with one entry per character, is added as column ``y``. With ``by_run`` a sentence has a
+    ``run``, which is kept, and ``single_words`` an array ``in_run`` telling in which runs the word is known.
     """
     chars = characters(F.col("s"))
+    run = ["run"] if by_run else []
     extra = ["y"] if label is not None else []
-    packed = sent.where(F.length("s") > 0).select("sid", chars.alias("_c"), *([label.alias("_y")] if extra else []))
+    packed = sent.where(F.length("s") > 0).select("sid", *run, chars.alias("_c"), *([label.alias("_y")] if extra else []))
     around = {d: F.coalesce(F.try_element_at("_c", F.col("pos") + 1 + d), F.lit(OUTSIDE[d])) if d > 0 else
               F.when(F.col("pos") + d >= 0, F.try_element_at("_c", F.greatest(F.col("pos") + 1 + d, F.lit(1))))
               .otherwise(OUTSIDE[d]) for d in OUTSIDE}
-    rows = packed.select("sid", "_c", *(["_y"] if extra else []), F.posexplode("_c").alias("pos", "ch")).select(
-        "sid", "pos", "ch", *[c.alias(f"c{d:+d}") for d, c in around.items()],
+    rows = packed.select("sid", *run, "_c", *(["_y"] if extra else []), F.posexplode("_c").alias("pos", "ch")).select(
+        "sid", *run, "pos", "ch", *[c.alias(f"c{d:+d}") for d, c in around.items()],
         *([F.element_at("_y", F.col("pos") + 1).alias("y")] if extra else []))
-    known = single_words.select("ch", F.lit("True").alias("in_dict"))
+    known = single_words.select("ch", *(["in_run"] if by_run else []), F.lit("True").alias("in_dict"))
     joined = rows.join(F.broadcast(known), "ch", "left")
+    if by_run:
+        joined = joined.withColumn("in_dict", F.when(F.element_at("in_run", F.col("run") + 1), F.col("in_dict")))
     c = F.col("ch")
 
     def flag(cond: Column) -> Column:
         return F.when(cond, "True").otherwise("False")
 
     return joined.select(
-        "sid", "pos", *extra, c.alias("c0"), F.col("`c-1`"), F.col("`c+1`"), F.col("`c-2`"), F.col("`c+2`"),
+        "sid", *run, "pos", *extra, c.alias("c0"), F.col("`c-1`"), F.col("`c+1`"), F.col("`c-2`"), F.col("`c+2`"),
         F.when(F.col("`c-1`") != OUTSIDE[-1], F.concat("`c-1`", c)).alias("c-1_c0"),
         F.when(F.col("`c+1`") != OUTSIDE[1], F.concat(c, "`c+1`")).alias("c0_c+1"),
         flag(c.rlike(r"^\p{Nd}$")).alias("is_digit"), flag(c.rlike(r"^\p{L}$")).alias("is_alpha"),

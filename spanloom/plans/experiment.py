@@ -18,6 +18,7 @@ from spanloom.operators.lattice import Lexicon
 from spanloom.operators.segment import FALLBACK_SINGLES, max_match
 from spanloom.operators.vocab import UNSEEN_TAG
 from spanloom.operators.splits import FOLDS
+from spanloom.plans.tagger_grid import LEVELS
 from spanloom.session import as_table
 
 # Method names of the grid and what each stands for.
@@ -27,10 +28,14 @@ METHODS = {
 }
 
 
+#: Every method of the grid, the tagger levels included.
+ALL_METHODS = (*METHODS, *LEVELS)
+
+
 def method_table(spark, names: Sequence[str]) -> DataFrame:
     """(method, known) for a list of requested names; a list the user types, hence small."""
     wanted = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("method")).distinct()
-    return wanted.select("method", F.col("method").isin(*METHODS).alias("known"))
+    return wanted.select("method", F.col("method").isin(*ALL_METHODS).alias("known"))
 
 
 def run_words(sent_roles: DataFrame, k: int = FOLDS) -> DataFrame:
@@ -65,11 +70,14 @@ def run_dictionary(words: DataFrame, predefined: DataFrame | None, source: str,
 
 
 def cv_scores(sent_roles: DataFrame, predefined: DataFrame, names: Sequence[str] = tuple(METHODS),
-              k: int = FOLDS) -> DataFrame:
-    """(method, fold, category, counts and metrics), ``ALL`` rows included; unknown names are left out."""
+              k: int = FOLDS, taggers: DataFrame | None = None) -> DataFrame:
+    """(method, fold, category, counts and metrics), ``ALL`` rows included; unknown names are left out.
+
+    ``names`` are dictionary methods; ``taggers`` are counts of tagger levels, from ``tagger_grid.tagger_counts``.
+    """
     sent_roles = sent_roles.persist(StorageLevel.MEMORY_AND_DISK)
     words = as_table(run_words(sent_roles, k), "run-words")
-    counted = []
+    counted = [] if taggers is None else [taggers]
     for source in dict.fromkeys(METHODS[n][1] for n in names if n in METHODS):
         methods = {n: METHODS[n][0] for n in names if n in METHODS and METHODS[n][1] == source}
         lex = Lexicon.build(run_dictionary(words, predefined, source, k))

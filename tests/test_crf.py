@@ -88,17 +88,17 @@ def test_minimum_meets_the_conditions_of_both_penalties():
     mask = np.ones((2, NAMED + NUMERIC + LABELS, LEVELS, LABELS), bool)
     mask[:, 3, 1] = mask[:, NAMED + 1, 2] = False
 
-    def evaluate(theta):
+    def evaluate(theta, wanted):
         out = [crf.loss_and_gradient(t, *p[:4]) for t, p in zip(theta, problems)]
         return np.stack([x for x, _ in out]), np.stack([g for _, g in out])
 
     def total(theta, c1, c2):
-        return evaluate(theta)[0] + c1 * np.abs(theta).sum((1, 3)) + c2 * np.square(theta).sum((1, 3))
+        return evaluate(theta, None)[0] + c1 * np.abs(theta).sum((1, 3)) + c2 * np.square(theta).sum((1, 3))
 
     for c1, c2 in ((1.0, 1e-3), (0.0, 0.1), (3.0, 0.0)):
         theta = crf.minimise(evaluate, mask, c1, c2, 300)
         assert (theta[~mask] == 0).all()
-        slope = crf.pseudo_gradient(theta, evaluate(theta)[1] + 2 * c2 * theta, c1) * mask
+        slope = crf.pseudo_gradient(theta, evaluate(theta, None)[1] + 2 * c2 * theta, c1) * mask
         assert np.abs(slope).max() < 0.05
         best = total(theta, c1, c2)
         rng = np.random.default_rng(0)
@@ -143,12 +143,14 @@ def test_spark_evaluation_equals_one_process(spark):
     rows, index = crf.training_table(runs, crf.single_words(sent), y, extra, ("odd",))
     features = index.count()
     theta = np.random.default_rng(1).standard_normal((2, features + 1 + 4, 2, 4))
-    losses, gradients = crf.evaluator(rows, 2, 1)(theta)
+    losses, gradients = crf.evaluator(rows, 2, 1)(theta, np.ones((2, 2), bool))
     for run in (0, 1):
         part = rows.where(F.col("run") == run).toPandas()
         assert len(part) == (40 if run == 0 else 14)
         loss, gradient = crf.loss_and_gradient(theta[run], *crf._arrays(part, 1))
         assert np.allclose(loss, losses[run]) and np.allclose(gradient, gradients[run])
+    part, _ = crf.evaluator(rows, 2, 1)(theta, np.array([[False, False], [False, True]]))
+    assert part[1, 1] == pytest.approx(losses[1, 1]) and (part.ravel()[:3] == 0).all()
 
 
 def test_joint_field_tags_by_the_neighbour(spark, tmp_path):
