@@ -155,7 +155,7 @@ def o78(c: Corpus) -> DataFrame:
 
 
 # The taggers of the queries learn from so many labelled sentences at most, in 200 iterations; counts and scoring read everything.
-TAGGER_ROWS, GRID_ROWS = 5000, 1000
+TAGGER_ROWS, GRID_ROWS = 2000, 500
 
 
 # A fitted model has no SQL form, but its decoding has exact invariants: one row per sentence, words that spell it, legal labels.

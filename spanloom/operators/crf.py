@@ -257,22 +257,31 @@ def flat_numeric(extra: DataFrame, numeric: Sequence[str]) -> DataFrame:
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"])).alias("dense"))
 
 
+def encoded(sent: DataFrame, singles: DataFrame, index: DataFrame, extra: DataFrame | None, numeric: Sequence[str]) -> DataFrame:
+    """(sid, ids, dense): feature numbers and numeric features of a sentence, character by character; -1 names no known feature.
+
+    Sentences are dealt out by sid once, so that gathering their characters needs no further shuffle.
+    """
+    dealt = sent.where(F.length("s") > 0).repartition("sid")
+    rows = named_features(window_features(dealt, singles, by_run="in_run" in singles.columns))
+    found = rows.join(F.broadcast(index) if fits_broadcast(index) else index, "feature", "left")
+    ids = found.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        "pos", "k", F.coalesce("id", F.lit(-1)).alias("id")))), lambda x: x["id"]).alias("ids"))
+    return ids.withColumn("dense", F.array().cast("array<double>")) if extra is None else ids.join(flat_numeric(extra, numeric), "sid")
+
+
 def training_table(sent: DataFrame, singles: DataFrame, y: Column, extra: DataFrame | None, numeric: Sequence[str],
-                   min_count: int = 1) -> tuple[DataFrame, DataFrame]:
+                   min_count: int = 1, runs: int = 1) -> tuple[DataFrame, DataFrame]:
     """(rows, index): per sentence of ``sent`` (sid, run, words, s) its feature numbers, numeric features and labels ``y``.
 
     ``sid`` is unique per row; a sentence that several runs learn from comes once for each, with ids of their own.
+    Rows of a run are dealt out to few partitions, as each hands on sums of all weights of its runs.
     """
     labelled = sent.where(F.length("s") > 0)
-    rows = named_features(window_features(labelled, singles, by_run="in_run" in singles.columns))
-    index = feature_index(rows, min_count)
-    found = rows.join(F.broadcast(index) if fits_broadcast(index) else index, "feature", "left")
-    ids = found.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct(
-        "pos", "k", F.coalesce("id", F.lit(-1)).alias("id")))), lambda x: x["id"]).alias("ids"))
-    out = labelled.select("sid", "run", y.alias("y")).join(ids, "sid")
-    dense = F.array().cast("array<double>")
-    out = out.withColumn("dense", dense) if extra is None else out.join(flat_numeric(extra, numeric), "sid")
-    return as_table(out.select("run", "ids", "dense", "y").repartition(PARTS, F.xxhash64("sid")), "crf-rows"), index
+    index = feature_index(named_features(window_features(labelled, singles, by_run="in_run" in singles.columns)), min_count)
+    out = labelled.select("sid", "run", y.alias("y")).join(encoded(labelled, singles, index, extra, numeric), "sid")
+    place = F.xxhash64("sid") if runs == 1 else F.col("run") * max(1, PARTS // runs) + F.pmod(F.xxhash64("sid"), F.lit(max(1, PARTS // runs)))
+    return as_table(out.select("run", "ids", "dense", "y").repartition(PARTS, place), "crf-rows"), index
 
 
 def _arrays(part: pd.DataFrame, numeric: int):
@@ -335,14 +344,10 @@ def observed(rows: DataFrame, runs: int, features: int, numeric: int, labels: in
     return out
 
 
-def fit_weights(rows: DataFrame, index: DataFrame, runs: int, numeric: Sequence[str], levels: Sequence[Sequence[str]], labels: int,
-                c1: float = C1, c2: float = C2, max_iter: int = MAX_ITER) -> tuple[DataFrame, np.ndarray]:
-    """(weights, transitions) of all runs and levels; ``levels`` lists the numeric features that each may use.
-
-    weights: (run, feature, w), w an array over levels and labels; features whose weights are all zero are left out.
-    transitions: (runs, levels, labels, labels).
-    """
-    spark, features = rows.sparkSession, index.count()
+def fit_theta(rows: DataFrame, index: DataFrame, runs: int, numeric: Sequence[str], levels: Sequence[Sequence[str]], labels: int,
+              c1: float = C1, c2: float = C2, max_iter: int = MAX_ITER) -> np.ndarray:
+    """All weights (runs, features + numeric features + labels, levels, labels); ``levels`` lists the numeric features each may use."""
+    features = index.count()
     allowed = np.ones((features + len(numeric) + labels, len(levels)), bool)
     for j, name in enumerate(numeric):
         allowed[features + j] = [name in level for level in levels]
@@ -350,15 +355,21 @@ def fit_weights(rows: DataFrame, index: DataFrame, runs: int, numeric: Sequence[
     mask = observed(rows, runs, features, len(numeric), labels)[:, :, None, :] & allowed[None, :, :, None]
     theta = minimise(evaluator(rows, runs, len(numeric)), mask, c1, c2, max_iter)
     rows.unpersist()
-    run, place = np.nonzero((theta[:, :features + len(numeric)] != 0).any((2, 3)))
-    w = theta[run, place].reshape(len(run), -1)
+    return theta
+
+
+def weight_table(theta: np.ndarray, index: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    """(run, feature, w), w an array over levels and labels; features whose weights are all zero are left out."""
+    spark, labels = index.sparkSession, theta.shape[3]
+    features = theta.shape[1] - len(numeric) - labels
+    run, place = np.nonzero((theta[:, :-labels] != 0).any((2, 3)))
+    w = theta[run, place].reshape(len(run), theta.shape[2] * labels)
     named = place < features
     table = lambda part: spark.createDataFrame(
         [(int(r), int(p), x.tolist()) for r, p, x in zip(run[part], place[part], w[part])], "run int, id int, w array<double>")
     names = F.array(*[F.lit(n) for n in numeric]) if numeric else F.array().cast("array<string>")
-    weights = table(named).join(index, "id").select("run", "feature", "w").unionAll(
-        table(~named).select("run", F.element_at(names, F.col("id") - features + 1), "w"))
-    return as_table(weights, "crf-weights"), theta[:, -labels:].transpose(0, 2, 1, 3)
+    return as_table(table(named).join(index, "id").select("run", "feature", "w").unionAll(
+        table(~named).select("run", F.element_at(names, F.col("id") - features + 1), "w")), "crf-weights")
 
 
 # --- scoring -----------------------------------------------------------------------------------
@@ -366,7 +377,7 @@ def emissions(sent: DataFrame, singles: DataFrame, extra: DataFrame | None, nume
               by_run: bool = False) -> DataFrame:
     """(sid, e): per character ``width`` scores, one after another, by a join of its features with the weights and a sum."""
     keep = ["run"] if by_run else []
-    rows = named_features(window_features(sent, singles, by_run=by_run), keep).select("sid", "pos", *keep, "feature", F.lit(1.0).alias("value"))
+    rows = named_features(window_features(sent.repartition("sid"), singles, by_run=by_run), keep).select("sid", "pos", *keep, "feature", F.lit(1.0).alias("value"))
     if extra is not None:
         if by_run:
             extra = extra.join(sent.select("sid", "run"), "sid")
@@ -382,28 +393,54 @@ def emissions(sent: DataFrame, singles: DataFrame, extra: DataFrame | None, nume
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"])).alias("e"))
 
 
-def decode(scored: DataFrame, transitions: np.ndarray, start: np.ndarray, end: np.ndarray) -> DataFrame:
-    """(sid, paths): per level the label numbers of the best path; ``scored`` is (sid, run, e), transitions by run and level."""
+def transitions_of(theta: np.ndarray) -> np.ndarray:
+    """(runs, levels, labels, labels) of all weights."""
+    return theta[:, -theta.shape[3]:].transpose(0, 2, 1, 3)
+
+
+def _paths(scores_of, start: np.ndarray, end: np.ndarray, transitions: np.ndarray, size_of: Callable[[pd.DataFrame], pd.Series]):
+    """Rows of sentences to (sid, paths); ``scores_of(rows, run)`` gives the scores of sentences one after another."""
     levels, labels = transitions.shape[1:3]
-    width = levels * labels
 
     def run(batches):
         for batch in batches:
-            sizes = batch["e"].map(len).to_numpy(np.int64) // width
+            sizes = size_of(batch).to_numpy(np.int64)
             paths = [[np.zeros(0, np.int32)] * levels for _ in sizes]
-            for number, part in batch.groupby("run"):
-                places = batch.index.get_indexer(part.index)
-                for own in by_length(sizes[places], width * labels):
+            runs = batch["run"].to_numpy()
+            for number in np.unique(runs):
+                places = np.flatnonzero(runs == number)
+                for own in by_length(sizes[places], levels * labels * labels):
                     at = places[own]
-                    scores = np.concatenate([batch["e"].iat[i] for i in at]).reshape(-1, levels, labels)
+                    scores = scores_of(batch.iloc[at], number).reshape(-1, levels, labels)
                     found = best_labels(scores, transitions[number], sizes[at], start, end).astype(np.int32)
                     for i, one in zip(at, np.split(found, np.cumsum(sizes[at])[:-1])):
                         paths[i] = list(np.ascontiguousarray(one.T))
             yield pd.DataFrame({"sid": batch["sid"].array, "paths": paths})
 
+    return run
+
+
+def decode(scored: DataFrame, transitions: np.ndarray, start: np.ndarray, end: np.ndarray) -> DataFrame:
+    """(sid, paths): per level the label numbers of the best path; ``scored`` is (sid, run, e), transitions by run and level."""
+    width = transitions.shape[1] * transitions.shape[2]
+    run = _paths(lambda rows, _: np.concatenate(rows["e"].to_numpy()), start, end, transitions, lambda batch: batch["e"].map(len) // width)
     return scored.select("sid", "run", "e").mapInPandas(run, "sid bigint, paths array<array<int>>")
 
 
+def decode_encoded(rows: DataFrame, theta: np.ndarray, barred: np.ndarray, start: np.ndarray, end: np.ndarray) -> DataFrame:
+    """As ``decode``, of rows (sid, run, ids, dense), with all weights at hand in the tasks; ``barred`` is added to transitions."""
+    shared = rows.sparkSession.sparkContext.broadcast(theta)
+
+    def scores_of(part, number):
+        ids = np.concatenate(part["ids"].to_numpy()).astype(np.int64).reshape(-1, len(WINDOW_FEATURES))
+        dense = np.concatenate(part["dense"].to_numpy()).astype(float)
+        dense = dense.reshape(len(ids), len(dense) // len(ids))
+        return emission_scores(shared.value[number], ids, dense)
+
+    run = _paths(scores_of, start, end, transitions_of(theta) + barred, lambda batch: batch["ids"].map(len) // len(WINDOW_FEATURES))
+    return rows.select("sid", "run", "ids", "dense").mapInPandas(run, "sid bigint, paths array<array<int>>")
+
+
 def bounded_rows(sent: DataFrame, most: int | None, seed: int = 42) -> DataFrame:
     """At most ``most`` rows, those of the smallest hash of ``sid``; all if None."""
     if most is None:
@@ -457,8 +494,8 @@ class CharCrf:
         names = F.array(*[F.lit(y) for y in labels])
         y = F.transform(cls.gold(), lambda v: (F.array_position(names, v) - 1).cast("int"))
         rows, index = training_table(used, singles, y, extra, numeric, min_count)
-        weights, transitions = fit_weights(rows, index, 1, numeric, [numeric], len(labels), c1, c2, max_iter)
-        return cls(weights.drop("run"), transitions, singles, labels, numeric)
+        theta = fit_theta(rows, index, 1, numeric, [numeric], len(labels), c1, c2, max_iter)
+        return cls(weight_table(theta, index, numeric).drop("run"), transitions_of(theta), singles, labels, numeric)
 
     def legal(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores of start, inner and end transitions: 0 or impossible."""

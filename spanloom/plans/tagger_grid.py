@@ -22,7 +22,7 @@ from spanloom.operators import features as fe
 from spanloom.operators.lattice import BINS, Lexicon, lattice, smoothed
 from spanloom.operators.ngrams import NgramStats
 from spanloom.operators.splits import FOLDS, SEED, inner_folds, per_fold
-from spanloom.plans.scale import exact_rank, seeded_hash
+from spanloom.plans.scale import BROADCAST_BYTES, exact_rank, seeded_hash
 from spanloom.session import as_table
 
 # The levels of the grid as (dictionary level, gap level).
@@ -120,16 +120,21 @@ def tagger_counts(sent_roles: DataFrame, lex: Lexicon, stats: NgramStats, names:
     label = F.array(*[F.lit(b) for b in BIES])
     y = F.transform(words_to_bies(F.col("words")), lambda v: (F.array_position(label, v) - 1).cast("int"))
     learn = rows.where("learn")
-    table, index = crf.training_table(learn, singles, y, extra.join(learn.select("sid"), "sid", "left_semi"), numeric)
-    weights, transitions = crf.fit_weights(table, index, k, numeric, levels, len(BIES), max_iter=max_iter)
+    table, index = crf.training_table(learn, singles, y, extra.join(learn.select("sid"), "sid", "left_semi"), numeric, runs=k)
+    theta = crf.fit_theta(table, index, k, numeric, levels, len(BIES), max_iter=max_iter)
 
     test = rows.where("NOT learn")
-    scored = crf.emissions(test.select("sid", "run", "s"), singles, extra.join(test.select("sid"), "sid", "left_semi"), numeric, weights,
-                           len(names) * len(BIES), by_run=True)
+    known = extra.join(test.select("sid"), "sid", "left_semi")
     barred = lambda ok: np.where(np.array(ok), 0.0, crf.IMPOSSIBLE)
     legal = barred([[b in LEGAL_NEXT[a] for b in BIES] for a in BIES])
-    paths = crf.decode(scored.join(test.select("sid", "run"), "sid"), transitions + legal, barred([b in LEGAL_START for b in BIES]),
-                       barred([b in LEGAL_END for b in BIES]))
+    ends = barred([b in LEGAL_START for b in BIES]), barred([b in LEGAL_END for b in BIES])
+    if theta.nbytes <= BROADCAST_BYTES:
+        coded = crf.encoded(test.select("sid", "run", "s"), singles, index, known, numeric).join(test.select("sid", "run"), "sid")
+        paths = crf.decode_encoded(coded, theta, legal, *ends)
+    else:
+        scored = crf.emissions(test.select("sid", "run", "s"), singles, known, numeric, crf.weight_table(theta, index, numeric),
+                               len(names) * len(BIES), by_run=True)
+        paths = crf.decode(scored.join(test.select("sid", "run"), "sid"), crf.transitions_of(theta) + legal, *ends)
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("method"), F.element_at("paths", i + 1).alias("path")) for i, n in enumerate(names)]))
     joined = test.join(as_table(paths, "grid-paths"), "sid", "left").select("run", "category", "words", "tags", "s", each.alias("m"))
     labels = F.transform(F.coalesce("m.path", F.array().cast("array<int>")), lambda i: F.element_at(label, i + 1))
