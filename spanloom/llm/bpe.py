@@ -3,9 +3,8 @@
 Texts are split by the tokenizer's pattern. The distinct pieces of a batch that are not yet known are
 bucketed by byte length and laid out as padded matrices of token ids. In every round each row merges its
 leftmost pair of minimum rank; ranks come from an open-addressing hash table over pairs of ids; rows that
-are done leave the matrix, the others are compacted to the left. Pieces over ``LONG`` bytes are rows of
-their own, where all places of the minimum rank are merged at once as long as no merge opens a smaller rank
-(else only the leftmost), which gives the same result in few rounds.
+are done leave the matrix, the others are compacted to the left. Pieces over ``LONG`` bytes, for which rounds over a
+whole row would cost the square of their length, make the same merges in the same order from a heap.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -149,29 +149,32 @@ class ByteBPE:
             rank[line[left], pos[left] - 1] = self.pairs.ranks_of(ids[line, pos - 1], ids[line, pos])[left]
 
     def _long(self, piece: bytes) -> list[int]:
+        """The leftmost pair of minimum rank is always on top of a heap; merged places are unlinked, stale entries passed over."""
         ids = self.start[np.frombuffer(piece, np.uint8)]
-        while len(ids) > 1:
-            rank = self.pairs.ranks_of(ids[:-1], ids[1:])
-            best = rank.min()
-            if best == NONE:
-                break
-            at = np.flatnonzero(rank == best)
-            run = np.r_[0, np.cumsum(np.diff(at) > 1)]
-            first = np.r_[0, np.flatnonzero(np.diff(run)) + 1]
-            at = at[(np.arange(len(at)) - first[run]) % 2 == 0]
-            merged = np.full(len(ids) + 2, -1, np.int64)
-            merged[1:-1] = ids
-            before, after = merged[at], merged[np.minimum(at + 3, len(merged) - 1)]
-            joined = np.isin(at - 2, at)
-            new = np.full(len(at), best, np.int64)
-            opened = min(self.pairs.ranks_of(before, new).min(), self.pairs.ranks_of(new, after).min(),
-                         self.pairs.ranks_of(new[joined], new[joined]).min(initial=NONE))
-            if opened < best:
-                at = at[:1]
-            ids = ids.copy()
-            ids[at] = best
-            ids = np.delete(ids, at + 1)
-        return ids.tolist()
+        rank = self.pairs.ranks_of(ids[:-1], ids[1:])
+        at = np.flatnonzero(rank != NONE)
+        heap = list(zip(rank[at].tolist(), at.tolist(), ids[at].tolist(), ids[at + 1].tolist()))
+        heapify(heap)
+        ids = ids.tolist()
+        before, after = list(range(-1, len(ids) - 1)), list(range(1, len(ids) + 1))
+
+        def push(a: int, b: int) -> None:
+            merged = self.ranks.get(self.bytes_of[ids[a]] + self.bytes_of[ids[b]])
+            if merged is not None:
+                heappush(heap, (merged, a, ids[a], ids[b]))
+
+        while heap:
+            best, a, left, right = heappop(heap)
+            b = after[a]
+            if ids[a] != left or b == len(ids) or ids[b] != right:
+                continue
+            ids[a], ids[b], after[a] = best, -1, after[b]
+            if after[a] < len(ids):
+                before[after[a]] = a
+                push(a, after[a])
+            if before[a] >= 0:
+                push(before[a], a)
+        return [i for i in ids if i >= 0]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, as the encoder of ordinary text of the tokenizer's library gives them."""

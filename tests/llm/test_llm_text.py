@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -54,6 +55,15 @@ def test_bpe_equals_the_library(coder, tokenizer, monkeypatch):
     assert coder.encode_pieces(pieces) == short
 
 
+def test_long_pieces_take_near_linear_time(coder, tokenizer):
+    rng = random.Random(9)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300_000))
+    start = time.time()
+    ids = coder.encode([text])[0]
+    assert time.time() - start < 30
+    assert ids == tokenizer.encode_ordinary(text)
+
+
 def test_bpe_query_on_odd_rows(spark, tokenizer):
     got = sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode_documents(frame(spark, ODD), RANKS, PATTERN).collect())
     want = []
