@@ -18,6 +18,7 @@ from spanloom.operators import embed
 from spanloom.operators import evaluate as ev
 from spanloom.operators import segment as sg
 from spanloom.operators import splits as sp
+from spanloom.operators.crf import decode_characters
 from spanloom.operators.joint import illegal_joint
 from spanloom.operators.lattice import Lexicon
 from spanloom.operators.tagger import log_probabilities
@@ -155,7 +156,7 @@ def o78(c: Corpus) -> DataFrame:
 
 
 # The taggers of the queries learn from so many labelled sentences at most, in 200 iterations; counts and scoring read everything.
-TAGGER_ROWS, GRID_ROWS = 2000, 500
+TAGGER_ROWS, GRID_ROWS = 2000, 300
 
 
 # A fitted model has no SQL form, but its decoding has exact invariants: one row per sentence, words that spell it, legal labels.
@@ -238,18 +239,14 @@ define("vit0", """/*recursive*/ SELECT sid, pos, stB + b AS b, -1e9::DOUBLE + i
     SELECT sid, CASE WHEN e + enE >= vit0.s + enS THEN pe ELSE ps END AS labels FROM vit0, log_w, (SELECT sid AS id, length(s) AS n FROM sent)
     WHERE id = sid AND pos = n - 1""")
 def o83(c: Corpus) -> DataFrame:
-    chars = c.sent.select("sid", F.posexplode(characters(F.col("s"))).alias("pos", "ch"))
     labels = F.arrays_zip(characters(F.col("s")).alias("ch"), words_to_bies(F.col("words")).alias("y"))
     counts = c.sent.select(F.explode(labels).alias("x")).groupBy(F.col("x.ch").alias("ch")).agg(
         *[F.sum((F.col("x.y") == b).cast("bigint")).alias(b) for b in BIES])
     total = sum((F.col(b) for b in BIES), F.lit(len(BIES)))
     scores = counts.select("ch", F.array(*[F.round(F.log((F.col(b) + 1) / total), 6) for b in BIES]).alias("e"))
-    rows = chars.join(F.broadcast(scores), "ch").groupBy("sid").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"]).alias("e"))
     t = log_probabilities(sg.transition_counts(c.sent))
-    lits = {k: [F.lit(round(v, 6)) for v in t[k]] for k in ("start", "end")}
-    trans = [[F.lit(round(v, 6)) for v in row] for row in t["trans"]]
-    return rows.select("sid", joined(sg.viterbi(F.col("e"), lits["start"], trans, lits["end"]), "").alias("labels"))
+    places = {k: [round(v, 6) for v in t[k]] for k in ("start", "end")}
+    return decode_characters(c.sent.select("sid", "s"), scores, places["start"], [[round(v, 6) for v in row] for row in t["trans"]], places["end"])
 
 
 # --- evaluation on the test part ----------------------------------------------------------

@@ -280,8 +280,9 @@ def training_table(sent: DataFrame, singles: DataFrame, y: Column, extra: DataFr
     labelled = sent.where(F.length("s") > 0)
     index = feature_index(named_features(window_features(labelled, singles, by_run="in_run" in singles.columns)), min_count)
     out = labelled.select("sid", "run", y.alias("y")).join(encoded(labelled, singles, index, extra, numeric), "sid")
-    place = F.xxhash64("sid") if runs == 1 else F.col("run") * max(1, PARTS // runs) + F.pmod(F.xxhash64("sid"), F.lit(max(1, PARTS // runs)))
-    return as_table(out.select("run", "ids", "dense", "y").repartition(PARTS, place), "crf-rows"), index
+    each = max(1, PARTS // runs)
+    place = (F.col("run") * each + F.pmod(F.xxhash64("sid"), F.lit(each))).cast("int").alias("place")
+    return as_table(out.select("run", place, "ids", "dense", "y"), "crf-rows"), index
 
 
 def _arrays(part: pd.DataFrame, numeric: int):
@@ -351,7 +352,7 @@ def fit_theta(rows: DataFrame, index: DataFrame, runs: int, numeric: Sequence[st
     allowed = np.ones((features + len(numeric) + labels, len(levels)), bool)
     for j, name in enumerate(numeric):
         allowed[features + j] = [name in level for level in levels]
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.repartitionById(PARTS, F.col("place") % PARTS).drop("place").persist(StorageLevel.MEMORY_AND_DISK)
     mask = observed(rows, runs, features, len(numeric), labels)[:, :, None, :] & allowed[None, :, :, None]
     theta = minimise(evaluator(rows, runs, len(numeric)), mask, c1, c2, max_iter)
     rows.unpersist()
@@ -441,6 +442,28 @@ def decode_encoded(rows: DataFrame, theta: np.ndarray, barred: np.ndarray, start
     return rows.select("sid", "run", "ids", "dense").mapInPandas(run, "sid bigint, paths array<array<int>>")
 
 
+def decode_characters(sent: DataFrame, table: DataFrame, start: Sequence[float], trans: Sequence[Sequence[float]], end: Sequence[float]) -> DataFrame:
+    """(sid, labels): the best legal labels of each sentence as text, from scores by character; a narrow map, linear in the text.
+
+    ``table``: (ch, e), an array of scores in label order; one row per character, so that Unicode bounds it.
+    """
+    rows = sorted((ord(r["ch"]), list(r["e"])) for r in table.collect())
+    known = np.array([c for c, _ in rows], np.uint32)
+    scores = np.array([e for _, e in rows], float).reshape(len(rows), len(BIES))
+    barred = lambda w, ok: np.array(w, float) + np.where(np.array(ok), 0.0, IMPOSSIBLE)
+    first, last = barred(start, [b in LEGAL_START for b in BIES]), barred(end, [b in LEGAL_END for b in BIES])
+    between = barred(trans, [[b in LEGAL_NEXT[a] for b in BIES] for a in BIES])[None, None]
+
+    def scores_of(part, _):
+        codes = np.frombuffer("".join(part["s"]).encode("utf-32-le"), "<u4")
+        return scores[np.searchsorted(known, codes)]
+
+    paths = _paths(scores_of, first, last, between, lambda batch: batch["s"].str.len())
+    labelled = sent.where(F.length("s") > 0).select("sid", F.lit(0).alias("run"), "s").mapInPandas(paths, "sid bigint, paths array<array<int>>")
+    names = F.array(*[F.lit(b) for b in BIES])
+    return labelled.select("sid", F.array_join(F.transform(F.element_at("paths", 1), lambda i: F.element_at(names, i + 1)), "").alias("labels"))
+
+
 def bounded_rows(sent: DataFrame, most: int | None, seed: int = 42) -> DataFrame:
     """At most ``most`` rows, those of the smallest hash of ``sid``; all if None."""
     if most is None:

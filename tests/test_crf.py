@@ -140,7 +140,7 @@ def test_spark_evaluation_equals_one_process(spark):
         "sid", F.col("sid") * 2 + F.col("run"))
     extra = runs.select("sid", F.posexplode(F.split("s", "")).alias("pos", "ch")).select("sid", "pos", (F.col("pos") % 2).cast("double").alias("odd"))
     y = F.transform(F.split("s", ""), lambda ch: F.when(ch == "a", 0).when(ch == "b", 2).otherwise(3))
-    rows, index = crf.training_table(runs, crf.single_words(sent), y, extra, ("odd",))
+    rows, index = crf.training_table(runs, crf.single_words(sent), y, extra, ("odd",), runs=2)
     features = index.count()
     theta = np.random.default_rng(1).standard_normal((2, features + 1 + 4, 2, 4))
     losses, gradients = crf.evaluator(rows, 2, 1)(theta, np.ones((2, 2), bool))
