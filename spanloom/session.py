@@ -6,13 +6,14 @@ import os
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "spanloom", cores: int | str = "*", shuffle_partitions: int | None = None,
                   memory: str = "12g") -> SparkSession:
-    """A local session with the settings the library expects; clusters bring their own."""
+    """A local session with the settings the library expects; clusters bring their own, with this package on their executors."""
     parts = shuffle_partitions or (2 * cores if isinstance(cores, int) else 2 * (os.cpu_count() or 4))
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -22,6 +23,8 @@ def build_session(app: str = "spanloom", cores: int | str = "*", shuffle_partiti
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # workers import this package, wherever the program was started
+        .config("spark.executorEnv.PYTHONPATH", str(Path(__file__).resolve().parents[1]))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
