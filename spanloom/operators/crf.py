@@ -25,7 +25,7 @@ from spanloom.functions.labels import (
     BIES, LEGAL_END, LEGAL_NEXT, LEGAL_START, bies_to_words, joint_label_index, joint_to_words_tags, words_tags_to_joint, words_to_bies)
 from spanloom.functions.script import characters
 from spanloom.operators.features import WINDOW_FEATURES, window_features
-from spanloom.plans.scale import exact_rank, fits_broadcast, keyed_join, seeded_hash
+from spanloom.plans.scale import exact_rank, fits_broadcast, lookup_join, seeded_hash
 from spanloom.session import as_table
 
 # Regularisation and limits of the reference tagger.
@@ -386,7 +386,7 @@ def emissions(sent: DataFrame, singles: DataFrame, extra: DataFrame | None, nume
         rows = rows.unionAll(extra.select("sid", "pos", *keep, F.explode(F.filter(items, lambda x: x["value"] != 0)).alias("x")).select(
             "sid", "pos", *keep, "x.feature", "x.value"))
     on = [*keep, "feature"]
-    found = keyed_join(rows, weights.select(*on, "w"), on, "left", small_fits=fits_broadcast(weights), spread=["sid", "pos"])
+    found = lookup_join(rows, weights.select(*on, "w"), on, "left", small_fits=fits_broadcast(weights))
     sums = [F.coalesce(F.sum(F.col("value") * F.element_at("w", i + 1)), F.lit(0.0)) for i in range(width)]
     scored = found.groupBy("sid", "pos").agg(*[s.alias(f"e{i}") for i, s in enumerate(sums)]).select(
         "sid", "pos", F.array(*[f"e{i}" for i in range(width)]).alias("e"))

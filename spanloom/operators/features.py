@@ -12,7 +12,7 @@ from spanloom.operators.lattice import BINS, Lexicon, class_priors, lattice, smo
 from spanloom.operators.ngrams import NgramStats
 from spanloom.operators.splits import FOLDS, inner_folds, others, per_fold
 from spanloom.operators.vocab import sentence_share
-from spanloom.plans.scale import fits_broadcast, keyed_join
+from spanloom.plans.scale import fits_broadcast, lookup_join
 from spanloom.session import as_table
 
 # Feature order, which the ablation levels index.
@@ -251,7 +251,7 @@ def gap_features(sent: DataFrame, stats: NgramStats) -> DataFrame:
     rows = sent.where(F.length("s") > 0).select("sid", F.posexplode(pairs).alias("pos", "c")).select(
         "sid", "pos", F.col("c.ch").alias("a"), F.col("c.nxt").alias("b"))
     bi = stats.pairs.select("a", "b", F.col("logfreq").alias("R_freq"), F.col("assoc").alias("R_assoc"))
-    looked = keyed_join(rows, bi, ["a", "b"], "left", small_fits=fits_broadcast(stats.bi), spread=["sid", "pos"])
+    looked = lookup_join(rows, bi, ["a", "b"], "left", small_fits=fits_broadcast(stats.bi))
     # Entropy tables have one row per character, so Unicode bounds them.
     ent = stats.entropy
     looked = looked.join(F.broadcast(ent.select(F.col("ch").alias("a"), F.col("h_right").alias("R_ent_cur"))), "a", "left")

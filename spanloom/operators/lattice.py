@@ -3,8 +3,10 @@
 The lattice is an equi-join of candidate substrings with the lexicon. Candidates are not
 all substrings: words shorter than a stem are tried by their own lengths, longer ones
 only where the next characters are the stem of some word, and then only in the lengths
-such words have. (A stem has four characters, six in a large lexicon.) This is exact for words of any length and emits a few candidates per
-position, however long the longest word is.
+such words have. (A stem has four characters, six in a large lexicon.) Every position copies the next
+``NEAR`` characters at most. Words longer than that are found by their first ``NEAR`` characters; only where these
+occur is the sentence's text met again and cut. This is exact for words of any length, emits a few candidates per
+position and takes memory linear in the sentence, however long the longest word is.
 """
 
 from __future__ import annotations
@@ -16,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.script import length_bin
-from spanloom.plans.scale import fits_broadcast, keyed_join
+from spanloom.plans.scale import fits_broadcast, lookup_join
 from spanloom.session import as_table
 
 STEM, LONG_STEM, MANY_WORDS = 4, 6, 20_000
 BLOCK = 256
+#: Longest word that is read off a position's own copy of the text.
+NEAR = 128
 KAPPA = 5
 BINS = ("2", "3", "4", "5P")
 
@@ -31,9 +35,11 @@ class Lexicon:
 
     words: DataFrame
     stems: DataFrame
+    far: DataFrame
     short_lengths: tuple[int, ...]
     max_len: int
     stem: int
+    near: int
     fits: bool
 
     @staticmethod
@@ -45,13 +51,14 @@ class Lexicon:
         ).first()
         stem = STEM if facts["n"] <= MANY_WORDS else LONG_STEM
         short = tuple(sorted(n for n in facts["short"] or () if n < stem))
-        stems = (
-            words.where(F.length("word") >= stem)
-            .groupBy(F.substring("word", 1, stem).alias("stem"))
-            .agg(F.collect_set(F.length("word")).alias("lengths"))
-        )
-        return Lexicon(words, stems, short, facts["max_len"] or 0, stem, fits_broadcast(words))
+        near = max(stem, NEAR)
 
+        def begun(part: DataFrame, size: int, name: str) -> DataFrame:
+            return part.groupBy(F.substring("word", 1, size).alias(name)).agg(F.collect_set(F.length("word")).alias("lengths"))
+
+        stems = begun(words.where(F.length("word").between(stem, near)), stem, "stem")
+        far = begun(words.where(F.length("word") > near), near, "ahead")
+        return Lexicon(words, stems, far, short, facts["max_len"] or 0, stem, near, fits_broadcast(words))
 
     def extended(self, words: DataFrame) -> "Lexicon":
         """The same words with more columns, so that a match brings them along without another join."""
@@ -92,6 +99,21 @@ def positions(sent: DataFrame, max_len: int, keep: Sequence[str] = (), gold: str
                        F.coalesce(ahead, F.lit("")).alias("ahead"), "gold_len")
 
 
+def far_candidates(spots: DataFrame, sent: DataFrame, lex: Lexicon, keep: Sequence[str]) -> DataFrame:
+    """Candidates longer than ``lex.near``, where the first characters of such a word occur.
+
+    Only place and length go to the sentence; its text is met once and cut candidate by candidate.
+    """
+    begun = lookup_join(spots.where(F.length("ahead") == lex.near), lex.far, ["ahead"], "inner", small_fits=lex.fits)
+    place = begun.select(F.struct("sid", *keep).alias("_at"), F.struct("start", "gold_len", "lengths").alias("_c"))
+    cuts = place.groupBy("_at").agg(F.collect_list("_c").alias("_cuts"))
+    met = sent.select("sid", *keep, "s").join(cuts, F.struct("sid", *keep).eqNullSafe(F.col("_at")))
+    each = met.select("sid", *keep, "s", F.explode("_cuts").alias("_c")).select(
+        "sid", *keep, "s", "_c.start", "_c.gold_len", F.explode("_c.lengths").alias("len"))
+    return each.where(F.col("start") + F.col("len") <= F.length("s")).select(
+        "sid", *keep, "start", "gold_len", "len", F.substring(F.col("s"), F.col("start") + 1, F.col("len")).alias("word"))
+
+
 def lattice(sent: DataFrame, lex: Lexicon, keep: Sequence[str] = (), gold: str | None = None,
             every_position: bool = False) -> DataFrame:
     """All lexicon matches: (sid, keep..., start, stop, len, word, is_gold, lexicon columns).
@@ -100,13 +122,13 @@ def lattice(sent: DataFrame, lex: Lexicon, keep: Sequence[str] = (), gold: str |
     or not (see ``found``): aggregates by position then need no second join to get the
     positions without a match.
     """
-    max_len, stem = max(lex.max_len, 1), lex.stem
-    rows = positions(sent, max_len, keep, gold)
+    stem = lex.stem
+    spots = rows = positions(sent, min(max(lex.max_len, 1), lex.near), keep, gold)
     short = sorted(set(lex.short_lengths) | ({1} if every_position else set()))
     direct = F.array(*[F.lit(n) for n in short]) if short else F.array().cast("array<int>")
     if lex.max_len >= stem:
-        rows = keyed_join(rows.withColumn("stem", F.substring("ahead", 1, stem)), lex.stems, ["stem"], "left",
-                          small_fits=lex.fits, spread=["sid", "start"])
+        rows = lookup_join(rows.withColumn("stem", F.substring("ahead", 1, stem)), lex.stems, ["stem"], "left",
+                          small_fits=lex.fits)
         lengths = F.when(F.col("lengths").isNull(), direct).otherwise(F.concat(direct, F.col("lengths")))
     else:
         lengths = direct
@@ -116,10 +138,12 @@ def lattice(sent: DataFrame, lex: Lexicon, keep: Sequence[str] = (), gold: str |
         .select("sid", *keep, "start", "gold_len", "len",
                 F.coalesce(F.substring(F.col("ahead"), F.lit(1), F.col("len")), F.lit("")).alias("word"))
     )
+    if lex.max_len > lex.near:
+        cand = cand.unionByName(far_candidates(spots, sent, lex, keep))
     words = lex.words.withColumn("found", F.lit(True))
     attributes = [c for c in words.columns if c not in ("word", "len")]
-    hits = keyed_join(cand, words.select("word", *attributes), ["word"], "left" if every_position else "inner",
-                      small_fits=lex.fits, spread=["sid", "start"])
+    hits = lookup_join(cand, words.select("word", *attributes), ["word"], "left" if every_position else "inner",
+                      small_fits=lex.fits)
     if every_position:
         hits = hits.where(F.col("found") | (F.col("len") == 1))
     return hits.select(

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.arrays import fold_out
 from spanloom.functions.labels import BIES, LEGAL_END, LEGAL_NEXT, LEGAL_START, words_to_bies
 from spanloom.operators.lattice import Lexicon, lattice
 from spanloom.operators.vocab import UNSEEN_TAG
-from spanloom.plans.scale import keyed_join
+from spanloom.plans.scale import lookup_join
 
 # Fixed value: characters every dictionary accepts as words of their own.
 FALLBACK_SINGLES = "0123456789abcdefghijklmnopqrstuvwxyz"
@@ -63,26 +64,22 @@ _SPANS = "array<struct<start:int,len:int,known:boolean>>"
 
 def forward_spans(at: Column) -> Column:
     """Greedy longest match from the left: a fold over positions that jumps by the chosen length."""
-    start = F.struct(F.lit(0).alias("next"), F.array().cast(_SPANS).alias("out"))
-
     def step(acc: Column, p: Column) -> Column:
         span = F.struct(p["pos"].alias("start"), p["fwd"].alias("len"), p["known"].alias("known"))
         return F.when(p["pos"] == acc["next"], F.struct(
             (p["pos"] + p["fwd"]).alias("next"), F.concat(acc["out"], F.array(span)).alias("out"))).otherwise(acc)
 
-    return F.aggregate(at, start, step, lambda acc: acc["out"])
+    return fold_out(at, F.lit(0), F.array().cast(_SPANS), step)
 
 
 def backward_spans(at: Column) -> Column:
     """The mirror image: longest match ending at each boundary, from the right."""
-    start = F.struct((F.size(at) - 1).alias("next"), F.array().cast(_SPANS).alias("out"))
-
     def step(acc: Column, p: Column) -> Column:
         span = F.struct((p["pos"] - p["bwd"] + 1).alias("start"), p["bwd"].alias("len"), p["known"].alias("known"))
         return F.when(p["pos"] == acc["next"], F.struct(
             (p["pos"] - p["bwd"]).alias("next"), F.concat(acc["out"], F.array(span)).alias("out"))).otherwise(acc)
 
-    return F.reverse(F.aggregate(F.reverse(at), start, step, lambda acc: acc["out"]))
+    return F.reverse(fold_out(F.reverse(at), F.size(at) - 1, F.array().cast(_SPANS), step))
 
 
 def unknown_words(spans: Column) -> Column:
@@ -114,7 +111,7 @@ def max_match(sent: DataFrame, lex: Lexicon, modes: Sequence[str] = ("bidirectio
 def tag_words(pred: DataFrame, modal: DataFrame, words: str, fits: bool) -> DataFrame:
     """(sid, idx, word, tag): the modal tag of every predicted word, ``x`` for unseen words."""
     rows = pred.select("sid", F.posexplode(words).alias("idx", "word"))
-    joined = keyed_join(rows, modal.select("word", "tag"), ["word"], "left", small_fits=fits, spread=["sid", "idx"])
+    joined = lookup_join(rows, modal.select("word", "tag"), ["word"], "left", small_fits=fits)
     return joined.select("sid", "idx", "word", F.coalesce("tag", F.lit(UNSEEN_TAG)).alias("tag"))
 
 

@@ -2,21 +2,31 @@
 
 * ``keyed_join`` broadcasts a lookup table only when its size is known to be small
   and otherwise salts the join, so that one hot key is spread over many tasks.
+* ``lookup_join`` does the same for tables that grow with the data, without copies of them: a filter lets rows
+  without a partner go, hot keys meet a broadcast of their own, and the rest is shuffled once.
 * ``exact_rank`` numbers rows in hash order without a single-task global sort.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.session import as_table
+
 BROADCAST_BYTES = 128 * 1024 * 1024
 ROW_OVERHEAD = 48
 HASH_FACTOR = 2
 SALTS = 32
+#: Slots of the filter over a lookup table's keys: per key, and at most (32 MB); bits in one bitmap of it.
+FILTER_BITS, MAX_FILTER_BITS, BITMAP_BITS = 8, 1 << 28, 32768
+#: A key is hot with more than one in so many rows.
+HOT_SHARE = 512
 BUCKET_ROWS = 1 << 20
 
 
@@ -69,6 +79,73 @@ def keyed_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, *,
     return salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")
 
 
+def key_slot(on: Sequence[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*on), F.lit(bits))
+
+
+def key_filter(small: DataFrame, on: Sequence[str], bits: int) -> DataFrame:
+    """The keys of ``small`` as a bit set of ``bits`` slots: (bucket, bitmap), 4 kB a bitmap."""
+    slots = small.select(key_slot(on, bits).alias("slot")).distinct().select(
+        F.floor(F.col("slot") / BITMAP_BITS).alias("_bucket"), (F.col("slot") % BITMAP_BITS).alias("bit"))
+    return slots.groupBy("_bucket").agg(F.bitmap_construct_agg("bit").alias("_bitmap"))
+
+
+def split_by_filter(big: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``big`` with ``_maybe``: false only where the key is certainly not in ``small``, as for keys with a null.
+
+    One hash a key and ``FILTER_BITS`` bits a row, 32 MB at most; a fuller filter lets more rows through.
+    """
+    rows = max(1, small.count())
+    bits = min(MAX_FILTER_BITS, max(BITMAP_BITS, 1 << math.ceil(math.log2(rows * FILTER_BITS))))
+    slot = big.withColumn("_slot", key_slot(on, bits))
+    # at most MAX_FILTER_BITS / 32768 bitmaps of 4 kB, whatever the input
+    met = slot.join(F.broadcast(key_filter(small, on, bits)), F.floor(F.col("_slot") / BITMAP_BITS) == F.col("_bucket"), "left")
+    bit = F.col("_slot") % BITMAP_BITS
+    byte = F.conv(F.hex(F.substring("_bitmap", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    maybe = known & F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return met.withColumn("_maybe", maybe).drop("_slot", "_bucket", "_bitmap")
+
+
+def hot_keys(rows: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
+    """The keys with more than one in ``share`` of all rows: fewer than ``share`` of them, however large the table."""
+    total = rows.count()
+    return rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * share > F.lit(total)).drop("_n")
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, *, small_fits: bool, share: int = HOT_SHARE) -> DataFrame:
+    """Join ``big`` (inner or left) to a lookup table with one row per key.
+
+    ``small_fits`` is the outcome of a size check: then ``small`` is broadcast. Else rows of ``big`` whose key
+    is not in a bit set of the keys of ``small`` leave before any shuffle. The rest is written, and split: keys with more than one in
+    ``share`` of its rows meet a broadcast of their few lookup rows, all others one plain shuffle of both sides.
+    So ``small`` is moved once, and no task holds more than a hash partition of the rarer keys.
+    """
+    on = list(on)
+    if small_fits:
+        return big.join(F.broadcast(small), on, how)
+    if how not in ("inner", "left"):
+        raise ValueError(f"unknown kind of join {how!r}")
+    cut = split_by_filter(big, small, on)
+    if how == "left":
+        cut = as_table(cut, "keyed-rows")
+        rows, rest = cut.where("_maybe").drop("_maybe"), cut.where("not _maybe").drop("_maybe")
+    else:
+        rows, rest = as_table(cut.where("_maybe").drop("_maybe"), "keyed-rows"), None
+    hot = as_table(small.join(F.broadcast(hot_keys(rows, on, share)), on, "left_semi"), "keyed-hot")
+    if fits_broadcast(hot):
+        flag = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
+        flagged = rows.join(flag, on, "left")
+        often = flagged.where("_hot").drop("_hot").join(F.broadcast(hot), on, "inner")
+        out = flagged.where("_hot is null").drop("_hot").join(small.hint("shuffle_merge"), on, how).unionByName(often)
+    else:  # few keys with huge values: AQE divides their partitions
+        out = rows.join(small.hint("shuffle_merge"), on, how)
+    if rest is None:
+        return out
+    names = [f for f in small.schema.fields if f.name not in on]
+    return out.unionByName(rest.withColumns({f.name: F.lit(None).cast(f.dataType) for f in names}))
+
+
 def seeded_hash(seed: int | str, *cols: Column | str) -> Column:
     """md5 over ``seed`` and the columns: the only source of pseudo-randomness here."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_c(c).cast("string") for c in cols]))

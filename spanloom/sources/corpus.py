@@ -13,6 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.arrays import running_sum
 from spanloom.functions.script import chunk_runs, length_bin
 from spanloom.operators.lattice import Lexicon
 
@@ -62,10 +63,7 @@ def word_spans(sent: DataFrame, words: str = "words", tags: str | None = "tags")
 
     The running offset is taken inside the row: ``ends`` is the cumulative word length.
     """
-    lengths = F.transform(F.col(words), lambda w: F.length(w))
-    ends = F.aggregate(
-        lengths, F.array().cast("array<int>"),
-        lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
+    ends = running_sum(F.transform(F.col(words), lambda w: F.length(w)))
     tag = F.col(tags) if tags else F.transform(F.col(words), lambda _: F.lit(None).cast("string"))
     keep = [c for c in sent.columns if c not in (words, tags)]
     zipped = F.arrays_zip(F.col(words).alias("word"), tag.alias("tag"), ends.alias("stop"))

@@ -45,6 +45,34 @@ def test_matches_equal_brute_force(spark, data, monkeypatch, fits, many):
         assert got.get(i, []) == brute("".join(w), words)
 
 
+@pytest.mark.parametrize("fits", [True, False])
+@pytest.mark.parametrize("every", [True, False])
+def test_words_beyond_the_near_reach(spark, make_sent, monkeypatch, fits, every):
+    monkeypatch.setattr(la, "NEAR", 6)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    sents = [[text(rng.randint(1, 40)) for _ in range(rng.randint(1, 30))] for _ in range(20)]
+    whole = ["".join(w) for w in sents]
+    words = {s[i:i + n] for s in whole for i, n in ((0, 3), (3, 6), (5, 7), (9, 20), (2, 400)) if len(s[i:i + n]) > 1}
+    lex = replace(lexicon(spark, words), fits=fits)
+    assert lex.max_len > lex.near
+    rows = la.lattice(make_sent(sents), lex, keep=("category",), gold="words", every_position=every).where("found").collect()
+    got = sorted((r["sid"], r["start"], r["stop"]) for r in rows)
+    assert got == sorted((i, a, b) for i, s in enumerate(whole) for a, b in brute(s, words))
+    gold = [spans(w) for w in sents]
+    assert all(r["is_gold"] == ((r["start"], r["stop"]) in gold[r["sid"]]) and r["word"] == whole[r["sid"]][r["start"]:r["stop"]] for r in rows)
+
+
+def test_a_very_long_word_in_a_very_long_sentence(spark, make_sent):
+    """Copying the reach at every position would take 5 GB here."""
+    rng = random.Random(9)
+    s = "".join(rng.choice("abcdefgh") for _ in range(100_000))
+    words = {s[20_000:70_000], s[10:310], "ab"}
+    rows = la.lattice(make_sent([[s]]), lexicon(spark, words)).select("start", "stop").collect()
+    pairs = [(i, i + 2) for i in range(len(s) - 1) if s[i:i + 2] == "ab"]
+    assert sorted(map(tuple, rows)) == sorted([*pairs, (20_000, 70_000), (10, 310)])
+
+
 def spans(words):
     out, at = set(), 0
     for w in words:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.api import DictionarySegmenter, DictionarySegmenterModel, TaggerSegmenter, TaggerSegmenterModel
 from spanloom.functions.labels import BIES, LEGAL_END, LEGAL_NEXT, LEGAL_START
 from spanloom.operators import segment as sg
+from spanloom.operators.evaluate import spans_of
 from spanloom.operators.lattice import Lexicon
 from spanloom.operators.ngrams import NgramStats
 from spanloom.operators.tagger import CharTagger
@@ -55,6 +56,20 @@ def test_maximum_matching_equals_its_definition(spark, make_sent):
         assert "".join(r["bidirectional"]) == s
 
 
+def test_long_sentences_are_matched_and_measured_in_blocks(spark, make_sent):
+    rng = random.Random(11)
+    words = {"".join(rng.choice("xyz") for _ in range(rng.randint(1, 5))) for _ in range(25)}
+    sents = [["".join(rng.choice("xyzw") for _ in range(n))] for n in (255, 256, 257, 1000, 20_000)]
+    lex = Lexicon.build(spark.createDataFrame([(w,) for w in words], "word string"))
+    for r in sg.max_match(make_sent(sents), lex, sg.MODES).collect():
+        s = sents[r["sid"]][0]
+        assert r["fmm"] == forward(s, words) and r["bmm"] == backward(s, words)
+    many = [["w" * rng.randint(1, 3) for _ in range(n)] for n in (0, 1, 255, 256, 257, 100_000)]
+    for r in make_sent(many).select("sid", spans_of(F.col("words")).alias("at")).collect():
+        stops = list(itertools.accumulate(map(len, many[r["sid"]])))
+        assert [tuple(x) for x in r["at"]] == list(zip([0, *stops][:len(stops)], stops))
+
+
 def test_dictionary_sources(spark):
     corpus, extra = (spark.createDataFrame([(w,) for w in ws], "word string") for ws in (["ab", "abc"], ["abcde"]))
     words = sg.dictionary_words("combined", corpus, extra)

@@ -3,7 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from spanloom.operators import splits as sp
-from spanloom.plans.scale import exact_rank, fits_broadcast, keyed_join, rank_digits, table_bytes
+from spanloom.plans.scale import exact_rank, fits_broadcast, hot_keys, keyed_join, lookup_join, rank_digits, split_by_filter, table_bytes
 
 
 def sents(make_sent, n=211):
@@ -69,6 +69,25 @@ def test_salted_join_keeps_every_row(spark):
     assert table_bytes(small) > 0
 
 
+def test_lookup_join_splits_hot_keys_and_drops_strangers(spark):
+    """A third of the rows on one key, null keys, keys without a partner; the same rows as a broadcast join."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") % 900)
+    big = spark.range(6000).select("id", key.cast("bigint").alias("k"), F.lit("x").alias("b"))
+    small = spark.range(-1, 300).select(F.col("id").alias("k"), F.concat(F.lit("b"), F.col("id").cast("string")).alias("v"))
+    for how in ("inner", "left"):
+        want = sorted(map(repr, lookup_join(big, small, ["k"], how, small_fits=True).select("id", "k", "b", "v").collect()))
+        out = lookup_join(big, small, ["k"], how, small_fits=False, share=10)
+        assert sorted(map(repr, out.select("id", "k", "b", "v").collect())) == want
+        plan = out._jdf.queryExecution().analyzed().toString()
+        assert "_salt" not in plan and "Generate" not in plan
+    cut = split_by_filter(big, small, ["k"])
+    assert cut.where("_maybe and k is null").count() == 0 and cut.where("not _maybe and k < 300").count() == 0
+    assert cut.where("not _maybe and k >= 300").count() > 0.8 * cut.where("k >= 300").count()
+    assert [r["k"] for r in hot_keys(big.where("k is not null"), ["k"], 10).collect()] == [-1]
+    assert lookup_join(big, small.limit(0), ["k"], "left", small_fits=False).count() == 6000
+    assert lookup_join(big.limit(0), small, ["k"], "inner", small_fits=False).count() == 0
+
+
 def test_rank_digits_follow_the_rows():
     assert [rank_digits(n) for n in (0, 1 << 32, (1 << 32) + 1, 10**12)] == [3, 3, 4, 5]
 
