@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from spanloom.llm import chat, urls, wrapper
@@ -20,15 +21,24 @@ def conversations(seed=3):
     return rows + [(None, 1, "user", "n"), (None, 0, "assistant", "m"), (500, 1, "user", "tie"), (500, 1, "assistant", "tie"), (500, 1, "user", "tie"), (2**60 + 1, None, "user", "deep")]
 
 
+def grouped(rows):
+    """Turns by conversation; each row without a conversation is one of its own."""
+    by = {}
+    for i, (c, *rest) in enumerate(rows):
+        by.setdefault(("alone", i) if c is None else c, []).append(rest)
+    return by
+
+
 def test_chat_round_trip(spark):
     rows = conversations()
     df = spark.createDataFrame(rows, CONV).withColumn("path", F.lit("clash")).withColumn("depth", F.lit("clash"))
     emission, leaves = chat.conversation_tree(df.repartition(5))
-    got = {r["conv_id"]: r for r in chat.read_back(emission, leaves).collect()}
-    by = {}
-    for c, *rest in rows:
-        by.setdefault(c, []).append(rest)
-    assert set(got) == set(by)
+    read = chat.read_back(emission, leaves).collect()
+    got, by = {r["conv_id"]: r for r in read if r["conv_id"] is not None}, grouped(rows)
+    alone = [by.pop(c) for c in list(by) if isinstance(c, tuple)]
+    digest = lambda t: hashlib.sha256(f"{t[0][1]}\n{t[0][2]}\n".encode()).hexdigest()
+    assert len(alone) == 2 and sorted(map(digest, alone)) == sorted(r["turns_sha256"] for r in read if r["conv_id"] is None)
+    assert set(got) == set(by) and len(read) == len(by) + 2
     for c, turns in by.items():
         turns.sort(key=lambda t: tuple((x is not None, x) for x in t))
         turns = [(r or "", x or "") for _, r, x in turns]
@@ -44,9 +54,7 @@ def test_chat_tree_is_depth_first_and_shared(spark):
     rows = conversations(5)
     emission, _ = chat.conversation_tree(spark.createDataFrame(rows, CONV))
     nodes = sorted((r.asDict() for r in emission.collect()), key=lambda r: r["seq_start"])
-    by = {}
-    for c, *rest in rows:
-        by.setdefault(c, []).append(rest)
+    by = grouped(rows)
     distinct = set()
     for turns in by.values():
         turns.sort(key=lambda t: tuple((x is not None, x) for x in t))
@@ -68,6 +76,32 @@ def test_chat_tree_is_depth_first_and_shared(spark):
     assert empty.count() == 0 and chat.read_back(empty, leaves).count() == 0
 
 
+def test_long_conversations_and_many_null_ids_have_small_keys(spark, monkeypatch):
+    """100,000 turns in one conversation, two that leave it halfway, and 300,000 rows without an id."""
+    monkeypatch.setattr(chat, "fits_broadcast", lambda df: False)
+    keys, place = [], chat.place_chains
+
+    def watched(turns):
+        keys.append(turns.agg(F.max(F.length("key")).alias("n")).first()["n"])
+        return place(turns)
+
+    monkeypatch.setattr(chat, "place_chains", watched)
+    long = [(1, t, "user" if t % 2 else "assistant", f"t{t}") for t in range(100_000)]
+    rows = long + [(c, t, r, x) for c in (2, 3) for _, t, r, x in long[:50_000]] + [(2, 50_000, "user", "else"), (3, 50_000, "user", "other")]
+    same = spark.range(300_000).selectExpr("cast(null as bigint) conv_id", "1L turn", "'user' role", "cast(id % 1000 as string) text")
+    schema = spark.createDataFrame([], CONV).schema
+    tree = spark.createDataFrame(pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]), schema).unionByName(same)
+    emission, leaves = chat.conversation_tree(tree)
+    assert emission.count() == 100_002 + 1000 and leaves.count() == 300_003
+    deep = emission.where("depth >= 49999").agg(F.max(F.size("intervals")).alias("n")).first()["n"]
+    assert deep <= 2
+    got = {r["conv_id"]: r for r in chat.read_back(emission, leaves.where("conv_id is not null")).collect()}
+    assert {c: r["n_turns"] for c, r in got.items()} == {1: 100_000, 2: 50_001, 3: 50_001}
+    want = hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in long).encode()).hexdigest()
+    assert got[1]["turns_sha256"] == want
+    assert keys == [40]
+
+
 PAGE = ("<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var t=\"</p>\";</script></head><body>"
         "<nav><ul><li><a href='/x'>{0}</a><li>two</ul></nav><!-- <p>no</p> --><div class=\"ad\">{1}</div><header>H {0}</header>{2}"
         "<aside>s</aside><form><p>mail</p></form><div class='cookie-notice'>n</div><section id=comments><p>c {0}</p></section>"
