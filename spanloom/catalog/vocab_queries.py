@@ -239,3 +239,13 @@ def o50(c: Corpus) -> DataFrame:
     path = scratch_path(c.spark, "ngram-stats")
     stats_of(c).save(path)
     return summary_row(ng.NgramStats.load(c.spark, path))
+
+
+@query("o50_stats_grow", SUMMARY_SQL)
+def o50_grow(c: Corpus) -> DataFrame:
+    """Statistics saved in two batches, the second given twice: those of all runs together."""
+    path = scratch_path(c.spark, "grown-stats")
+    half = F.pmod(F.xxhash64("run"), F.lit(2))
+    for batch in (0, 1, 1):
+        ng.NgramStats.count(c.runs.where(half == batch)).add_to(path, f"half-{batch}")
+    return summary_row(ng.NgramStats.load(c.spark, path))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.script import characters
 from spanloom.session import as_table
+from spanloom.sources.versions import commit, folder_of, has_batch, newest
 
 DPMI_DISCOUNT = 0.5
 METRICS = ("dpmi", "dice", "t_score")
@@ -98,14 +99,36 @@ class NgramStats:
     def count(runs: DataFrame, metric: str = "dpmi", run: str = "run") -> "NgramStats":
         return NgramStats(as_table(unigrams(runs, run), "unigram"), as_table(bigrams(runs, run), "bigram"), metric)
 
-    def save(self, path: str) -> None:
-        """Persist the counts only; everything else is recomputed."""
-        self.uni.write.mode("overwrite").parquet(f"{path}/unigram")
-        self.bi.write.mode("overwrite").parquet(f"{path}/bigram")
-        self.uni.sparkSession.range(1).select(F.lit(self.metric).alias("metric")).write.mode("overwrite").json(f"{path}/meta")
+    def save(self, path: str, batch: str | None = None) -> None:
+        """Persist the counts only, as the newest version; everything else is recomputed."""
+        spark = self.uni.sparkSession
+
+        def write(folder: str) -> None:
+            self.uni.write.parquet(f"{folder}/unigram")
+            self.bi.write.parquet(f"{folder}/bigram")
+            spark.range(1).select(F.lit(self.metric).alias("metric")).write.json(f"{folder}/meta")
+
+        commit(spark, path, write, batch)
+
+    def merged(self, other: "NgramStats") -> "NgramStats":
+        """The statistics of both texts together: counts add up, the rest follows from them."""
+        if self.metric != other.metric:
+            raise ValueError(f"cannot merge statistics of {self.metric!r} and {other.metric!r}")
+        uni = self.uni.unionByName(other.uni).groupBy("ch").agg(F.sum("cnt").alias("cnt"))
+        bi = self.bi.unionByName(other.bi).groupBy("a", "b").agg(F.sum("cnt").alias("cnt"))
+        return NgramStats(uni, bi, self.metric)
+
+    def add_to(self, path: str, batch: str) -> None:
+        """Merge into the statistics saved in ``path``; a batch that is in them already changes nothing."""
+        spark = self.uni.sparkSession
+        if has_batch(spark, path, batch):
+            return
+        saved = newest(spark, path)[1]
+        (NgramStats.load(spark, path).merged(self) if saved else self).save(path, batch)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "NgramStats":
+        path = folder_of(spark, path)
         metric = spark.read.schema("metric string").json(f"{path}/meta").first()["metric"]
         return NgramStats(spark.read.parquet(f"{path}/unigram"), spark.read.parquet(f"{path}/bigram"), metric)
 

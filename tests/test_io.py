@@ -45,6 +45,17 @@ def test_ngram_statistics_by_hand(spark, tmp_path):
         ngrams.association("other")
 
 
+def test_statistics_grow_by_batches(spark, tmp_path):
+    runs = spark.createDataFrame([("abab",), ("ba",), ("c",), ("abc",)], "run string")
+    path = str(tmp_path / "n")
+    for name, part in (("1", runs.limit(2)), ("2", runs.subtract(runs.limit(2))), ("2", runs)):
+        ngrams.NgramStats.count(part).add_to(path, name)
+    rows = lambda s: (sorted(map(str, s.pairs.collect())), sorted(map(str, s.uni.collect())))
+    assert rows(ngrams.NgramStats.load(spark, path)) == rows(ngrams.NgramStats.count(runs))
+    with pytest.raises(ValueError):
+        ngrams.NgramStats.count(runs).merged(ngrams.NgramStats.count(runs, "dice"))
+
+
 def test_modal_tag_tie_takes_the_first(spark):
     tok = spark.createDataFrame([(1, 0, "w", "b"), (1, 1, "w", "a"), (2, 0, "w", "a"), (3, 0, "w", "b"), (4, 0, "v", "c")],
                                 "sid bigint, idx int, word string, tag string")

@@ -2,9 +2,11 @@ import itertools
 import random
 
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
-from spanloom.api import DictionarySegmenter, DictionarySegmenterModel, TaggerSegmenter, TaggerSegmenterModel
+from spanloom.api import DictionarySegmenter, DictionarySegmenterModel, SegmentationEvaluator, TaggerSegmenter, TaggerSegmenterModel
 from spanloom.functions.labels import BIES, LEGAL_END, LEGAL_NEXT, LEGAL_START
 from spanloom.operators import segment as sg
 from spanloom.operators.evaluate import spans_of
@@ -142,3 +144,41 @@ def test_tagger_contract_with_features(spark, make_sent, tmp_path):
     assert "".join(outs[0][1][0]) == "cabcda" and len(outs[0][1][0]) == len(outs[0][1][1])
     with pytest.raises(ValueError):
         TaggerSegmenter()
+
+
+def test_pipeline_and_cross_validation(spark, make_sent, tmp_path):
+    rng = random.Random(4)
+    words = ["ab", "abc", "cd", "de", "x", "bcd"]
+    sent = make_sent([rng.choices(words, k=8) for _ in range(40)])
+    extra = spark.createDataFrame([("abcdex",)], "word string")
+    est = DictionarySegmenter("fmm", "corpus", extra)
+    grid = ParamGridBuilder().addGrid(est.mode, ["fmm", "bmm"]).addGrid(est.source, ["predefined", "combined"]).build()
+    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=SegmentationEvaluator("F1"), numFolds=2, seed=1).fit(sent)
+    best = max(range(4), key=lambda i: cv.avgMetrics[i])
+    assert grid[best][est.source] == "combined" and cv.bestModel.mode == grid[best][est.mode]
+    model = Pipeline(stages=[est]).fit(sent)
+    want = sorted(map(str, model.transform(sent).collect()))
+    model.write().overwrite().save(str(tmp_path / "p"))
+    assert sorted(map(str, PipelineModel.load(str(tmp_path / "p")).transform(sent).collect())) == want
+    for bad in (dict(mode="none"), dict(source="none"), dict(source="combined")):
+        with pytest.raises(ValueError):
+            DictionarySegmenter(**bad)
+
+
+def test_a_broken_save_leaves_the_old_model(spark, make_sent, tmp_path, monkeypatch):
+    path = str(tmp_path / "m")
+    old = DictionarySegmenter("fmm").fit(make_sent([["ab", "c"]]))
+    new = DictionarySegmenter("bmm").fit(make_sent([["a", "bc"]]))
+    old.save(path)
+    with pytest.raises(FileExistsError):
+        new.write().save(path)
+    with monkeypatch.context() as m:
+        m.setattr(type(new.tags), "sparkSession", property(lambda _: 1 / 0))
+        with pytest.raises(ZeroDivisionError):
+            new.save(path)
+    assert DictionarySegmenterModel.load(path).mode == "fmm"
+    new.save(path)
+    loaded = DictionarySegmenterModel.load(spark, path)
+    assert loaded.mode == "bmm" and {r["word"] for r in loaded.lex.words.collect()} >= {"a", "bc"}
+    with pytest.raises(FileNotFoundError):
+        DictionarySegmenterModel.load(str(tmp_path / "none"))
