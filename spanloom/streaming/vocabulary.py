@@ -1,4 +1,10 @@
-"""Word frequencies that grow while new documents arrive."""
+"""Word frequencies that grow while new documents arrive.
+
+The table lies in segments, each of a run of batches. Batch n writes the segment of the last 2^k batches, where 2^k is the
+largest power of two in n + 1, from its own words and the segments it replaces: after n batches there are
+log2(n) + 1 segments at most, and a word is written again as often at most. What a segment holds follows from its batches alone, so
+a batch that is repeated after a failure writes the same; replaced segments go when the next batch begins, when nothing can repeat.
+"""
 
 from __future__ import annotations
 
@@ -21,21 +27,70 @@ def stream_words(spark: SparkSession, folder: str, file_glob: str, schema: Struc
 def incremental_word_freq(words: DataFrame, checkpoint: str | None = None, table: str | None = None) -> DataFrame:
     """Consume everything available and return the frequencies as a table.
 
-    Each batch writes only the words it changed, tagged with its number; the newest row of a
-    word is its frequency. Nothing is gathered on the driver, and after a lost executor or a
-    restart a batch replaces exactly its own part.
+    Each batch hands on only the words it changed; the newest row of a word is its frequency. Nothing is
+    gathered on the driver.
     """
     spark = words.sparkSession
     table = table or scratch_path(spark, "word-freq")
     checkpoint = checkpoint or scratch_path(spark, "word-freq-state")
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        current = segments(number)
+        drop_others(spark, table, current)
+        first = segments(number + 1)[-1][0]
+        rows = batch.select("word", "freq", F.lit(number).cast("bigint").alias("batch"))
+        replaced = [s for s in current if s[0] >= first]
+        if replaced:
+            rows = newest_rows(rows.unionByName(read_segments(spark, table, replaced)))
+        rows.write.mode("overwrite").parquet(segment_path(table, (first, number)))
 
     query = (
         word_freq(words).writeStream.outputMode("update").foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    rows = spark.read.schema("word string, freq bigint, batch bigint").option("basePath", table).parquet(table)
-    return rows.groupBy("word").agg(F.max_by("freq", "batch").alias("freq"))
+    return current_freq(spark, table)
+
+
+def segments(batches: int) -> list[tuple[int, int]]:
+    """First and last batch of each segment after so many batches: the powers of two in their number, largest first."""
+    out, at = [], 0
+    for k in reversed(range(batches.bit_length())):
+        if batches >> k & 1:
+            out.append((at, at + (1 << k) - 1))
+            at += 1 << k
+    return out
+
+
+def segment_path(table: str, segment: tuple[int, int]) -> str:
+    return f"{table}/segment-{segment[0]}-{segment[1]}"
+
+
+def read_segments(spark: SparkSession, table: str, wanted: list[tuple[int, int]]) -> DataFrame:
+    schema = "word string, freq bigint, batch bigint"
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[segment_path(table, s) for s in wanted])
+
+
+def newest_rows(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("word").agg(F.max_by("freq", "batch").alias("freq"), F.max("batch").alias("batch"))
+
+
+def _folders(spark: SparkSession, table: str, inside: str = "") -> list:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/segment-*{inside}")
+    return [x.getPath() for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or ()]
+
+
+def drop_others(spark: SparkSession, table: str, keep: list[tuple[int, int]]) -> None:
+    """Remove this table's segments that are not in ``keep``; their rows are in those that replaced them."""
+    names = {f"segment-{a}-{b}" for a, b in keep}
+    for path in _folders(spark, table):
+        if path.getName() not in names:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def current_freq(spark: SparkSession, table: str) -> DataFrame:
+    """(word, freq) as of the last segment that was written whole."""
+    last = [int(p.getParent().getName().split("-")[2]) for p in _folders(spark, table, "/_SUCCESS")]
+    return newest_rows(read_segments(spark, table, segments(max(last, default=-1) + 1))).select("word", "freq")

@@ -1,5 +1,6 @@
 import json
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from spanloom.operators import embed, ngrams
 from spanloom.operators.vocab import modal_tag, tag_statistics
 from spanloom.session import shared_dir
 from spanloom.sources import readers
-from spanloom.streaming.vocabulary import incremental_word_freq, stream_words
+from spanloom.streaming.vocabulary import incremental_word_freq, segments, stream_words
 
 
 def test_lexicon_array_file(spark, tmp_path):
@@ -73,6 +74,22 @@ def test_stream_grows_with_new_files(spark, tmp_path):
     assert {r["word"]: r["freq"] for r in incremental_word_freq(words(), state, table).collect()} == {"the": 2, "cat": 1, "dog": 1}
 
 
+def test_stream_table_stays_small_and_survives_a_repeated_batch(spark, tmp_path):
+    assert [segments(n) for n in (0, 1, 6, 8)] == [[], [(0, 0)], [(0, 3), (4, 5)], [(0, 7)]]
+    folder, table, state = (str(tmp_path / x) for x in ("in", "table", "state"))
+    for i in range(6):
+        spark.createDataFrame([(f"all w{i} w{i // 2}",)], "text string").coalesce(1).write.mode("append").parquet(folder)
+        got = incremental_word_freq(stream_words(spark, folder, "*.parquet", "text string"), state, table)
+        last = max(int(p.name) for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit())
+        assert len(list((tmp_path / "table").iterdir())) <= (last + 1).bit_length() + 3
+        want = Counter(w for j in range(i + 1) for w in ("all", f"w{j}", f"w{j // 2}"))
+        assert {r["word"]: r["freq"] for r in got.collect()} == want
+    (tmp_path / "state" / "commits" / str(last)).unlink()  # as if the driver had died after the write
+    (tmp_path / "state" / "commits" / f".{last}.crc").unlink(missing_ok=True)
+    again = incremental_word_freq(stream_words(spark, folder, "*.parquet", "text string"), state, table)
+    assert {r["word"]: r["freq"] for r in again.collect()} == want
+
+
 def test_character_vectors(spark):
     runs = spark.createDataFrame([("abcabc",)] * 20 + [("x",)], "run string")
     rows = embed.char_vectors(embed.char2vec(runs, size=8, epochs=1)).select("ch", F.size("vector").alias("n")).collect()
