@@ -9,6 +9,7 @@ calibration fitted on the same sample.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -210,6 +211,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def stretch(lines: int, size: int, draw: int) -> slice:
+    """The lines that are learnt from: all, or of a longer document ``size`` that follow each other, so that neighbours are neighbours."""
+    start = draw % (lines - size + 1) if lines > size else 0
+    return slice(start, start + min(lines, size))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
           sample_lines: int = SAMPLE_LINES) -> LineCRF:
     """Fit on labelled documents outside the held-out fold; only feature rows of the bounded sample reach the driver."""
@@ -225,9 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out = []
             for text, label in zip(batch["text"], batch["label"]):
                 x, length, _ = lines_of([(text or "").encode()])
-                if len(x) > sample_lines:
-                    at = np.linspace(0, len(x) - 1, sample_lines).astype(int)
-                    x, length = x[at], length[at]
+                at = stretch(len(x), sample_lines, zlib.crc32((text or "").encode()))
+                x, length = x[at], length[at]
                 out.append((x.astype(np.float32).ravel().tobytes(), length.astype(np.float32).tobytes(), int(label)))
             yield pd.DataFrame(out, columns=["x", "length", "label"])
 

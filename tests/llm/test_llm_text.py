@@ -170,6 +170,14 @@ def test_quality_on_held_out_labels(spark):
     assert kept == {d for d, r in got.items() if r["predicted"]}
 
 
+def test_long_documents_are_learnt_from_in_one_stretch():
+    for lines, size in ((0, 4), (1, 4), (4, 4), (5, 4), (1000, 400)):
+        for draw in range(30):
+            at = np.arange(lines)[quality.stretch(lines, size, draw)]
+            assert len(at) == min(lines, size) and (np.diff(at) == 1).all()
+    assert {quality.stretch(1000, 400, d).start for d in range(5000)} == set(range(601))
+
+
 def test_quality_on_odd_rows(spark):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (5, 1, None), (6, None, 0), (None, 1, 1), (4, 0, 0)], "doc_id bigint, quality int, toxic int")
     docs = frame(spark, ODD)
