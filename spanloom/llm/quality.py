@@ -21,7 +21,7 @@ from spanloom.llm.common import exact_id
 
 #: Labelled documents that are learnt from at most, those with the smallest hashes of their ids.
 SAMPLE_DOCS = 4000
-#: A document enters the sample as up to this many lines, drawn evenly over the whole text; scoring reads all lines.
+#: A document enters the sample as up to this many lines that follow each other; scoring reads all lines.
 SAMPLE_LINES = 400
 THRESHOLD, FOLDS = 0.3, 5
 BYTES = 6_000_000
