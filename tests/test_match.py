@@ -38,6 +38,29 @@ def test_counts_spans_features_and_segments_equal_the_joins(monkeypatch, data):
         assert inside and inside == joins
 
 
+def test_sums_made_in_the_row_equal_those_of_the_positions(spark, data):
+    sents, lex, sent = data
+    stats = NgramStats.count(spark.createDataFrame([("".join(s),) for s in sents[:20]], "run string"))
+    counts, folded = la.occ_hit(sent, lex), sent.withColumn("fold", (F.col("sid") % 5).cast("int"))
+    shares = la.Lexicon.build(lex.words.select("word", F.lit(0.25).alias("share_a"), F.lit(0.75).alias("share_b")))
+    for make in (lambda **k: fe.bie_features(sent, lex, True, **k), lambda **k: fe.meta_features(sent, lex, True, **k),
+                 lambda **k: fe.dict_features(sent, lex, counts, unique=True, **k), lambda **k: fe.gap_features(sent, stats, True, **k),
+                 lambda **k: fe.oof_dict_features(sent, lex, folds=folded.select("sid", "fold"), unique=True, **k)):
+        rows = make()
+        names = [c for c in rows.columns if c not in ("sid", "pos")]
+        want = {r["sid"]: r for r in fe._summed(rows, names, "place").collect()}
+        summed = make(sums="place")
+        plan = summed._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(sid" not in plan or "fold" in plan
+        got = {r["sid"]: r for r in summed.collect()}
+        assert got.keys() == want.keys() and all(got[s][n] == pytest.approx(want[s][n]) for s in got for n in names)
+        total, parts = fe._summed(rows, names, "all").first(), make(sums="all").collect()
+        assert all(sum(p[n] for p in parts) == pytest.approx(total[n]) for n in [*names, *[f"n:{n}" for n in names]])
+    in_a = F.col("category") == "en"
+    want = {r["sid"]: tuple(r) for r in fe._domain_sums(fe.domain_features(sent, shares, in_a, True), "place").collect()}
+    assert {r["sid"]: tuple(r) for r in fe.domain_features(sent, shares, in_a, True, "place").collect()} == want
+
+
 def test_tags_of_words_are_made_in_the_row(spark, data):
     sents, lex, sent = data
     modal = spark.createDataFrame([("a", "x1"), ("b", "y"), ("c", None)], "word string, tag string")
