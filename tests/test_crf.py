@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.api import JointSegmenter, JointSegmenterModel, TaggerSegmenter, TaggerSegmenterModel
+from spanloom.api import JointSegmenter, JointSegmenterModel, TaggerSegmenter, TaggerSegmenterModel, chosen_features
+from spanloom.functions.script import length_bin
 from spanloom.operators import crf
+from spanloom.operators import features as fe
 from spanloom.operators.lattice import Lexicon
 from spanloom.operators.ngrams import NgramStats
 
@@ -189,3 +191,23 @@ def test_rows_are_bounded(spark):
     sent = spark.createDataFrame(corpus(50), SCHEMA)
     assert crf.bounded_rows(sent, 20).count() == 20 and crf.bounded_rows(sent, None).count() == 50
     assert {r["sid"] for r in crf.bounded_rows(sent, 20).collect()} <= {r["sid"] for r in crf.bounded_rows(sent, 30).collect()}
+
+
+def test_labels_made_in_the_row_equal_those_by_joins(spark, make_sent):
+    rng = random.Random(5)
+    sents = [["".join(rng.choice("abc1-\U00018800") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 8))] for _ in range(40)]
+    sent = make_sent(sents)
+    words = spark.createDataFrame([(w, True, False, None) for w in sorted({w for s in sents for w in s if len(w) > 1})],
+                                  "word string, has_yi boolean, has_yin boolean, has_book_title boolean")
+    lex = Lexicon.build(words.withColumn("bin", length_bin(F.length("word"))))
+    stats = NgramStats.count(spark.createDataFrame([("".join(s),) for s in sents], "run string"))
+    for kind in (TaggerSegmenter, JointSegmenter):
+        model = kind(lex, stats, max_rows=30, max_iter=3).fit(sent)
+        rows = sent.select("sid", "s").union(spark.createDataFrame([(1000, ""), (1001, None), (None, "ab")], "sid bigint, s string"))
+        numbers = fe.feature_numbers(model.tagger.numeric, lex, model.counts, stats)
+        inside = model.tagger.transform_rows(rows, numbers)
+        known = fe.dict_features(rows, lex, model.counts)
+        joins = model.tagger.transform(rows, chosen_features(known, rows, stats, model.dict_level, model.gap_level))
+        assert "Exchange" not in inside._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, inside.collect()), key=repr) == sorted(map(tuple, joins.collect()), key=repr)
+        assert model.labels(rows).columns == inside.columns
