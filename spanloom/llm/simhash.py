@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import components, exact_id
+from spanloom.llm.common import by_number, components, exact_id, numbered
 from spanloom.session import as_table
 
 BITS, SEED, WORDS, BUDGET = 64, 42, 3, 2
@@ -46,16 +46,18 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * set_in > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit number; one row per row of ``docs``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed 64-bit number; one row per row of ``docs``, with its number ``row`` if there is one."""
+    kept = ["row"] if row else []
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "fp": fp})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "fp": fp, **{c: batch[c].array for c in kept}})
 
-    source = docs.select(docs[id_col].cast("bigint").cast("string").alias("doc_id"), docs[text_col].alias("text"))
-    return exact_id(source.mapInPandas(run, "doc_id string, fp bigint"))
+    number = [docs[row].alias("row")] if row else []
+    source = docs.select(docs[id_col].cast("bigint").cast("string").alias("doc_id"), docs[text_col].alias("text"), *number)
+    return exact_id(source.mapInPandas(run, "doc_id string, fp bigint" + ", row bigint" * bool(row)))
 
 
 def split_mask(mask: int) -> list[int]:
@@ -207,3 +209,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smallest = as_table(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-smallest")
     of_value = as_table(labelled.join(smallest, "label").select("fp", "component_id"), "simhash-components")
     return marked.join(of_value, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SUBTREE) -> DataFrame:
+    """``docs`` with one row of each group of rows linked by their fingerprints, that with the smallest id; null ids come last.
+
+    Rows are dropped by a number given once, so repeated rows and null ids are safe. Texts without words, whose fingerprint says
+    nothing of them, link as in ``simhash_groups``. An empty table gives an empty result.
+    """
+    rows, row = numbered(docs, "simhash-rows")
+    marked = as_table(fingerprints(rows, id_col, text_col, row), "simhash-fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    values = as_table(marked.groupBy("fp").agg(F.min(place).alias("at")), "simhash-values")
+    label = components(links(values, limit), "simhash")
+    labelled = values.join(label, values.fp == label.node, "left").select("at", F.coalesce("label", "fp").alias("label"))
+    kept = labelled.groupBy("label").agg(F.min("at").alias("at")).select(F.col("at.row").alias(row))
+    return by_number(rows, kept, row, "left_semi", "simhash-kept").select(*docs.columns)
