@@ -5,10 +5,11 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.api import DictionarySegmenter
 from spanloom.operators import embed, ngrams
 from spanloom.operators.vocab import modal_tag, tag_statistics
 from spanloom.session import shared_dir
-from spanloom.sources import readers
+from spanloom.sources import corpus, readers
 from spanloom.streaming.vocabulary import incremental_word_freq, segments, stream_words
 
 
@@ -96,5 +97,56 @@ def test_character_vectors(spark):
     assert {(r["ch"], r["n"]) for r in rows} == {("a", 8), ("b", 8), ("c", 8)}
 
 
+def test_pairs_of_characters_are_counted_once_by_distance(spark):
+    runs = spark.createDataFrame([("abca",), ("bb",), ("x",), ("",), (None,)], "run string")
+    got = {(r["ch"], r["by"]): r["n"] for r in embed.pair_counts(runs, window=2).collect()}
+    want = Counter()
+    for run in ("abca", "bb"):
+        for i, a in enumerate(run):
+            want[ord(a), -1] += 1
+            for j, b in enumerate(run):
+                if 0 < abs(i - j) <= 2:
+                    want[ord(a), ord(b)] += 3 - abs(i - j)
+    assert got == want
+
+
+def test_vectors_tell_characters_by_their_neighbours(spark):
+    """a and b stand in the same places, c and d in others."""
+    runs = spark.createDataFrame([("xayxbyxayxby",), ("zcwzdwzcwzdw",)] * 300, "run string")
+    v = {r["ch"]: r["vector"] for r in embed.char2vec(runs, size=16, partitions=1).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(v[a], v[b])) / math.hypot(*v[a]) / math.hypot(*v[b])
+    assert cos("a", "b") > max(cos("a", "c"), cos("a", "d")) and cos("c", "d") > max(cos("a", "c"), cos("b", "d"))
+    assert embed.char2vec(runs.limit(0), size=4).count() == 0
+    assert [len(r["vector"]) for r in embed.char2vec(spark.createDataFrame([("aa",)], "run string"), size=4).collect()] == [4]
+
+
+def test_a_table_with_splits_enough_is_not_shuffled(spark, tmp_path, monkeypatch):
+    """The scan of four files keeps four cores busy; one file of one row group is dealt out."""
+    plan = lambda path: corpus.read_spread(spark, path, "id", "id")._jdf.queryExecution().toString()
+    many, one = str(tmp_path / "many"), str(tmp_path / "one")
+    spark.range(400).repartition(4).write.parquet(many)
+    spark.range(400).coalesce(1).write.parquet(one)
+    assert "Exchange" in plan(one)
+    monkeypatch.setattr(corpus, "SPREAD_BYTES", 0)
+    assert "Exchange" not in plan(many) and "Exchange" in plan(one)
+    assert corpus.read_spread(spark, one, "id", "id").count() == 400
+
+
+def test_a_dictionary_is_learnt_in_one_reading(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, ["ab", "c"], ["n", "m"]) for i in range(10)] + [(11, [], []), (None, ["d"], ["n"])]
+    sent = spark.createDataFrame(rows, "sid bigint, words array<string>, tags array<string>")
+    model = DictionarySegmenter().fit(sent.mapInArrow(seen, sent.schema))
+    assert read.value == len(rows)
+    assert {r["word"] for r in model.lex.words.collect()} >= {"ab", "c", "d"}
+    assert {(r["word"], r["tag"]) for r in model.tags.collect()} == {("ab", "n"), ("c", "m"), ("d", "n")}
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert spark.conf.get("spark.checkpoint.dir", None) in (None, shared_dir(spark))
