@@ -229,6 +229,37 @@ def test_numbered_ids_share_a_wrapper_node(spark):
     assert wrapper.parse("<div id=post-12 class='post h9'></div>").items[0].label == "div post"
 
 
+def test_wrappers_are_learnt_from_all_pages_of_a_host(spark, monkeypatch):
+    """A section of 12 among 200 pages has its own template; 3 pages of one story, the longest ones, do not make any."""
+    bodies = [f"<body><div class=story><p>Story {i} is told here</p><p>and ends {i}</p></div></body>" for i in range(185)]
+    bodies += [f"<body><div class=offer><p>Offer {i} of the shop</p><p>at a price of {i}</p><div class=terms>Shipping terms apply</div></div></body>" for i in range(185, 197)]
+    long = "".join(f"<p>Line {k} of the long story</p>" for k in range(2, 9))
+    bodies += [f"<body><div class=story><p>Version {i}</p>{long}</div></body>" for i in range(197, 200)]
+    want = {i: f"Story {i} is told here\nand ends {i}" for i in range(185)} | {i: f"Offer {i} of the shop\nat a price of {i}" for i in range(185, 197)}
+    want |= {i: "\n".join([f"Version {i}", *[f"Line {k} of the long story" for k in range(2, 9)]]) for i in range(197, 200)}
+    assert texts_of(spark, bodies) == want
+    monkeypatch.setattr(wrapper, "FAN", 2)  # more rounds, no other result
+    assert texts_of(spark, bodies[::-1]) == {199 - i: t for i, t in want.items()}
+
+
+def test_one_odd_page_of_many_does_not_hide_template():
+    page_of = lambda i, end: f"<div class=x><p>Text {i}</p><div class=end>{end}</div></div>"
+    end = lambda n, odd: wrapper.loaded(wrapper.induced([page_of(i, "Write to us" if i >= odd else f"other {i}") for i in range(n)]))[0].kids[0].kids[1]
+    assert (end(40, 4).support, end(40, 4).text) == (40, wrapper._digest("Write to us"))
+    assert end(40, 5).text is None and end(8, 1).text is None and end(8, 0).text is not None
+
+
+def test_structures_keep_what_enough_pages_have():
+    tree = wrapper.blocks_of(wrapper.parse("<body><div class=a><p>x<ul><li>y<li>z</ul></div><table><tr><td>t</table></body>"))
+    text = wrapper.structure_of(tree)
+    again = wrapper.tree_of(text)
+    assert wrapper.structure_of(again) == text and again.shape == tree.shape
+    assert [p.place for p in again.in_order()] == list(range(tree.size)) and len(set(wrapper.label_paths(text))) == tree.size - 1
+    rare = dict(zip(wrapper.label_paths(text), text.split("\n")))
+    known = {path for path, line in rare.items() if line.split(" ")[1] not in ("ul", "li")}
+    assert [line.split(" ", 1)[1] for line in wrapper.pruned(text, known).split("\n")] == ["#root", "body", "div a", "p", "table", "tr", "td"]
+
+
 def test_url_parts_and_rules(spark):
     cases = {"https://M.Example.NET/en/1?x#y": ("m.example.net", "/en/1", "example.net/en/", "allow"), "http://a.net": ("a.net", "", None, None),
              "http://a.net/": ("a.net", "/", "net/", "block"), "HTTP://x.example.com/de/": ("x.example.com", "/de/", "example.com/de/", "block"),
