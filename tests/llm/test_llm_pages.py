@@ -255,9 +255,12 @@ def test_structures_keep_what_enough_pages_have():
     again = wrapper.tree_of(text)
     assert wrapper.structure_of(again) == text and again.shape == tree.shape
     assert [p.place for p in again.in_order()] == list(range(tree.size)) and len(set(wrapper.label_paths(text))) == tree.size - 1
-    rare = dict(zip(wrapper.label_paths(text), text.split("\n")))
-    known = {path for path, line in rare.items() if line.split(" ")[1] not in ("ul", "li")}
-    assert [line.split(" ", 1)[1] for line in wrapper.pruned(text, known).split("\n")] == ["#root", "body", "div a", "p", "table", "tr", "td"]
+    paths = wrapper.label_paths(text)
+    lines = dict(zip([line.split(" ", 1)[1] for line in text.split("\n")], paths))
+    kept = lambda *labels: [line.split(" ", 1)[1] for line in wrapper.pruned(text, wrapper.useful_paths(paths, [lines[x][0] for x in labels])).split("\n")]
+    assert kept() == ["#root"]
+    assert kept("td") == ["#root", "body", "div a", "table", "tr", "td"]
+    assert kept("ul") == ["#root", "body", "div a", "p", "ul", "table"]
 
 
 def test_url_parts_and_rules(spark):
