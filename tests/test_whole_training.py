@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.catalog import segment_queries as sq
 from spanloom.catalog.split_queries import part
 from spanloom.operators import crf
+from spanloom.operators.splits import with_fold_roles
 from spanloom.plans import tagger_grid as tg
 from spanloom.sources.corpus import Corpus
 
@@ -65,6 +66,13 @@ def test_the_character_tagger_learns_from_all_training_sentences(corpus, learnt)
     assert learnt == {0: part(corpus, "train").count()} and learnt[0] > 2000
 
 
+def test_the_grid_learns_from_all_training_sentences_of_a_run(corpus, learnt):
+    roles = with_fold_roles(corpus.sent)
+    want = {r: roles.where(F.element_at("in_train", r + 1)).count() for r in range(5)}
+    sq.scores_of(corpus)
+    assert learnt == want and min(want.values()) > 2000
+
+
 def test_features_made_in_the_row_equal_those_of_the_training_table(spark, make_sent):
     rng = random.Random(6)
     sent = make_sent([["".join(rng.choice("ab1-") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 6))] for _ in range(30)])
