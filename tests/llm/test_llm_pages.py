@@ -172,6 +172,22 @@ def test_tree_matching_equals_its_definition(monkeypatch):
         assert wrapper.merge(b, a).size == size
 
 
+def test_long_lists_of_children_are_aligned_as_short_ones(monkeypatch):
+    """The best alignment, not the next child of a label: 300 x 300 children are more than the table holds whole."""
+    def children(labels):
+        return wrapper.tree_of("\n".join(["0 ul", *(f"1 {x}" for x in labels)])).kids
+
+    assert wrapper.aligned(children(["b"] + ["a"] * 299), children(["a"] * 299 + ["b"]), {}) == [(i + 1, i) for i in range(299)]
+    rng = random.Random(9)
+    for _ in range(20):
+        trees = [wrapper.tree_of("\n".join(["0 ul"] + [x for _ in range(rng.randint(1, 40)) for x in rng.choice(["1 a", "1 b", "1 c", "1 a\n2 b", "1 a\n2 b\n2 c"]).split("\n")])) for _ in "xy"]
+        whole = wrapper.aligned(*(t.kids for t in trees), {})
+        with monkeypatch.context() as m:
+            m.setattr(wrapper, "TABLE", 0)
+            m.setattr(wrapper, "WEIGHTS", rng.choice([0, 1 << 24]))
+            assert wrapper.aligned(*(t.kids for t in trees), {}) == whole
+
+
 def test_a_wrapper_knows_constant_nodes_and_slots():
     pages = [f"<div><p>same</p>{'<ul><li>more</ul>' if i % 2 else ''}<p>text {i}</p><table><tr><td>cell</table></div>" for i in range(6)]
     root, _ = wrapper.loaded(wrapper.induced(pages))
