@@ -170,6 +170,31 @@ def test_quality_on_held_out_labels(spark):
     assert kept == {d for d, r in got.items() if r["predicted"]}
 
 
+def test_all_labelled_documents_are_learnt_from_with_all_lines(spark, monkeypatch):
+    rows = [(i, f"line {i} of a text\n" * (500 if i == 3 else 1 + i % 3)) for i in range(5200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = docs.select("doc_id", (docs.doc_id % 2).cast("int").alias("quality"))
+    wanted = {r["doc_id"] for r in docs.where(~quality.held_out(docs.doc_id)).collect()}
+    found = []
+    monkeypatch.setattr(quality, "fit", found.extend)
+    quality.train(docs, labels)
+    assert len(found) == len(wanted) > 4000 and sorted(len(d[0]) for d in found) == sorted(500 if i == 3 else 1 + i % 3 for i in wanted)
+
+
+def test_learning_from_blocks_equals_learning_on_the_driver(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "\n".join(rng.choice(["Some plain words here.", "$$ ## !!", "buy buy buy", "A longer line of plain words, as text has."]) if i % 2 else "## $$ buy buy"
+                          for _ in range(rng.randint(1, 12)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 10 < 2, 1 - docs.doc_id % 2).otherwise(docs.doc_id % 2).cast("int").alias("quality"))
+    few = quality.train(docs, labels)
+    monkeypatch.setattr(quality, "LOCAL_LINES", 0)
+    monkeypatch.setattr(quality, "BLOCK_LINES", 500)
+    many = quality.train(docs, labels)
+    for name in ("mean", "scale", "w", "trans", "slope", "offset"):
+        assert np.allclose(getattr(few, name), getattr(many, name), rtol=1e-5, atol=1e-7), name
+
+
 def test_long_documents_are_learnt_from_in_one_stretch():
     for lines, size in ((0, 4), (1, 4), (4, 4), (5, 4), (1000, 400)):
         for draw in range(30):
