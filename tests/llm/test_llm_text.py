@@ -190,9 +190,11 @@ def test_learning_from_blocks_equals_learning_on_the_driver(spark, monkeypatch):
     few = quality.train(docs, labels)
     monkeypatch.setattr(quality, "LOCAL_LINES", 0)
     monkeypatch.setattr(quality, "BLOCK_LINES", 500)
-    many = quality.train(docs, labels)
-    for name in ("mean", "scale", "w", "trans", "slope", "offset"):
-        assert np.allclose(getattr(few, name), getattr(many, name), rtol=1e-5, atol=1e-7), name
+    for most in (0, 1 << 20):  # in partitions, on the driver
+        monkeypatch.setattr(quality, "DRIVER_LINES", most)
+        many = quality.train(docs, labels)
+        for name in ("mean", "scale", "w", "trans", "slope", "offset"):
+            assert np.allclose(getattr(few, name), getattr(many, name), rtol=1e-5, atol=1e-7), name
 
 
 def test_long_documents_are_learnt_from_in_one_stretch():
